@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from vellumine.llm import ngram_join
+from vellumine.llm import decontaminate, ngram_join, suffix_dedup
+
+_QUERIES = {
+    "op1_ngram_jaccard_join": (ngram_join.op1_ngram_jaccard_join, ngram_join.ORACLE_SQL),
+    "op3_decontamination": (decontaminate.op3_decontamination, decontaminate.ORACLE_SQL),
+    "op9_suffix_dedup": (suffix_dedup.op9_suffix_dedup, suffix_dedup.ORACLE_SQL),
+}
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join}
+    return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL}
+    return {k: s for k, (_, s) in _QUERIES.items() if s}

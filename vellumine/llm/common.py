@@ -123,3 +123,12 @@ def batches_by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def row_slices(batches: Iterator[pa.RecordBatch], name: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``size`` bytes of the text column ``name``."""
+    for batch in batches:
+        col = batch.column(name).cast(pa.large_string())
+        offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        for lo, hi in doc_chunks(offs, offs, size):
+            yield batch.slice(lo, hi - lo)

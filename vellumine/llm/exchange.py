@@ -24,7 +24,7 @@ from vellumine.llm.common import binary_views, partitions
 
 U = np.uint64
 KEY_BITS = 56
-MAX_COUNT = 65535
+MAX_COUNT = 2**32 - 1
 
 #: A block: what its documents need later (pickled), the keys, and for each key the number of the thing it came from.
 Block = tuple[object, np.ndarray, np.ndarray]
@@ -65,7 +65,7 @@ def grouped(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return k[start], start, np.diff(start, append=len(k)), refs[order]
 
 
-def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: int):
+def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
         for number, (extra, keys, refs) in enumerate(make(batches)):
@@ -76,7 +76,7 @@ def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: in
             single[several] = np.arange(int(several.sum()), dtype=U)
             lists = ref[np.repeat(several, count)] if len(key) else ref[:0]
             head = pickle.dumps((extra, pack(count[several]), pack(lists)), 5)
-            owner = (((key >> U(KEY_BITS - 32)) * U(parts)) >> U(32)).astype(np.int64)
+            owner = (((key >> U(bits - 32)) * U(parts)) >> U(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-2))
             rows = [(block % parts, block, True, head)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -86,7 +86,7 @@ def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: in
     return run
 
 
-def _count(parts: int):
+def _count(parts: int, with_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, keys, refs, counts = [], [], [], []
         for batch in batches:
@@ -120,13 +120,13 @@ def _count(parts: int):
             lo, hi = at[i], at[i + 1]
             m = keep[lo:hi]
             if m.any():
-                blob = pack_sorted(every[lo:hi][m]) + pack(refs[i][m]) + pack(local[lo:hi][m] > 1) + pack(np.minimum(mine[lo:hi][m], U(MAX_COUNT)))
+                blob = (pack_sorted(every[lo:hi][m]) if with_keys else b"") + pack(refs[i][m]) + pack(local[lo:hi][m] > 1) + pack(np.minimum(mine[lo:hi][m], U(MAX_COUNT)))
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((b % parts, b, False, blob), _ARROW.types)], schema=_ARROW)
 
     return run
 
 
-def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
+def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], with_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[int, bytes] = {}
         found: dict[int, list[bytes]] = defaultdict(list)
@@ -142,8 +142,9 @@ def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Itera
             ends = np.cumsum(sizes)
             ks, rs, cs = [], [], []
             for blob in map(memoryview, found.pop(b, ())):
-                k, at = unpack_sorted(blob)
+                k, at = unpack_sorted(blob) if with_keys else (None, 0)
                 r, at = unpack(blob, at)
+                k = np.zeros(len(r), U) if k is None else k
                 several, at = unpack(blob, at)
                 c, _ = unpack(blob, at)
                 several = several.astype(bool)
@@ -167,14 +168,17 @@ def repeated_keys(
     make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]],
     finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]],
     schema: str,
+    bits: int = KEY_BITS,
+    with_keys: bool = True,
 ) -> DataFrame:
     """``finish`` gets each block's own entries whose key occurs at least twice in all blocks.
 
     ``df`` must give the same rows in the same order on every retry (``pinned``).
     ``finish(extra, keys, refs, counts)``: counts are of the whole corpus, up to
-    ``MAX_COUNT``.
+    ``MAX_COUNT``. ``bits``: width of the keys that ``make`` gives. Without
+    ``with_keys`` they don't travel back, and ``keys`` are zeros.
     """
     parts = partitions(df.sparkSession)
-    sent = df.mapInArrow(_send(make, parts), _SCHEMA)
-    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(_count(parts), _SCHEMA)
-    return counted.repartitionById(parts, F.col("part")).mapInArrow(_return(finish), schema)
+    sent = df.mapInArrow(_send(make, parts, bits), _SCHEMA)
+    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(_count(parts, with_keys), _SCHEMA)
+    return counted.repartitionById(parts, F.col("part")).mapInArrow(_return(finish, with_keys), schema)
