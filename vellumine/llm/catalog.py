@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vellumine.llm import decontaminate, fingerprint, ngram_join, suffix_dedup, toxicity
+from vellumine.llm import decontaminate, fingerprint, ngram_join, packing, secret_scan, suffix_dedup, toxicity
 
 _QUERIES = {
     "op1_ngram_jaccard_join": (ngram_join.op1_ngram_jaccard_join, ngram_join.ORACLE_SQL),
     "op3_decontamination": (decontaminate.op3_decontamination, decontaminate.ORACLE_SQL),
+    "op5_secret_scan": (secret_scan.op5_secret_scan, None),
     "op6_toxicity": (toxicity.op6_toxicity, None),
+    "op7_packing": (packing.op7_packing, None),
     "op9_suffix_dedup": (suffix_dedup.op9_suffix_dedup, suffix_dedup.ORACLE_SQL),
     "op10_document_fingerprints": (fingerprint.op10_document_fingerprints, fingerprint.ORACLE_SQL),
 }
