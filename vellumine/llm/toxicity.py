@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import int_column, row_slices, table
+from vellumine.llm.common import row_slices, table
 
 U = np.uint64
 #: Labelled rows that the classifier is fitted on, at most.
@@ -168,19 +168,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and toxicity (0 to 1) and toxic (toxicity >= threshold); see ``toxicity``."""
+    """(doc_id, toxicity, toxic) for every row of ``docs``; see ``toxicity``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    clash = {c.lower() for c in docs.columns} & {"toxicity", "toxic"}
-    if clash:
-        docs = docs.drop(*clash)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), "toxicity double", "toxic boolean"])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxicity", pa.float64()), ("toxic", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, "text"):
             s = np.round(scores(shared.value, batch.column("text")), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], names=[*batch.schema.names, "toxicity", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(s >= threshold)], schema=schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are; a null text is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, "text"):
+            yield batch.filter(pa.array(np.round(scores(shared.value, batch.column("text")), 6) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -194,7 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
     table gives no rows.
     """
     model = train(docs, labels, train_rows)
-    return score_documents(docs.select("doc_id", "text"), model, threshold).select("doc_id", "toxicity", "toxic")
+    return score_documents(docs, model, threshold)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
