@@ -1,0 +1,489 @@
+"""Operators that work row by row, packing, and the pipeline, against brute force."""
+
+import random
+import re
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.conftest import words
+from vellumine.llm import chat_format, decontaminate, html_extract, license_scan, ngram_join, packing, secret_scan, suffix_dedup, toxicity
+from vellumine.llm import words as W
+from vellumine.llm.tokens import PIECES, VOCABULARY, Counter, encoding
+
+# ---------------------------------------------------------------- tokens
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab Z09.,!'\n\t\r  é漢🙂_-\x1c\x85")), max_size=60))
+def test_counts_add_up(text):
+    assert Counter().count(text) == len(encoding().encode_ordinary(text))
+
+
+def bpe(text):
+    """Byte-pair merges written out."""
+    import base64
+
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    n = 0
+    for piece in regex.findall(PIECES, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            best = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip([*parts, b""], [*parts[1:], b""])) if i + 1 < len(parts)) if len(parts) > 1 else (1 << 60, 0)
+            if best[0] == 1 << 60:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        n += len(parts)
+    return n
+
+
+# ---------------------------------------------------------------- secrets
+
+HEX40 = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ3pLk09aB"
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f'token = "{HEX40}"', [HEX40]),
+        (f"commit {HEX40}", []),
+        (f"plain {HEX40} text", []),
+        (f"sha256: {HEX40}{HEX40[:24]}", []),
+        (f"sha256 of it, password={HEX40}", [HEX40]),
+        (f"key {KEY} end", [KEY]),
+        (f"{KEY},{KEY}", [KEY, KEY]),
+        ("550e8400-e29b-41d4-a716-446655440000", []),
+        ("api_key: 550e8400-e29b-41d4-a716-446655440000", ["550e8400-e29b-41d4-a716-446655440000"]),
+        ("internationalization2021 documentation_of_the_process_2", []),
+        ("4785380592391139 1111111111111111a", []),
+        ("src/main/python3/site-packages/modules/example", []),
+        ("", []),
+    ],
+)
+def test_secret_cases(text, found):
+    got = secret_scan.scan(text, encoding().encode_ordinary)
+    assert [text[f.start : f.end] for f in got] == found
+    for f in got:
+        assert f.n_tokens == bpe(text[f.start : f.end])
+
+
+def test_secret_brute_force(make):
+    rng = random.Random(8)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], []
+    for i in range(60):
+        w = words(rng, rng.choice([0, 3, 50]))
+        if i % 3 == 0:
+            key = "".join(rng.choice(chars) for _ in range(32)) + "7aQ"
+            w.insert(len(w) // 2, key)
+            planted.append((i, key))
+        rows.append((i, " ".join(w)))
+    docs = make(rows)
+    text = dict(rows)
+    got = [(r.doc_id, text[r.doc_id][r.start : r.end]) for r in secret_scan.secrets(docs).collect()]
+    assert sorted(got) == sorted(planted)
+    clean = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    for i, t in rows:
+        want = t.replace(dict(planted).get(i, "\0"), secret_scan.MASK)
+        assert clean[i].text == want and clean[i].n_chars == len(want) and clean[i].lang == "en"
+
+
+def test_secret_awkward(make, awkward):
+    rows = [*awkward, (None, f"secret {KEY}"), (40, f"secret {KEY}"), (40, f"secret {KEY}"), (41, "x1" * 200_000)]
+    docs = make(rows).withColumn("start", F.lit(1)).withColumn("label", F.lit(2))
+    assert sorted(((r.doc_id or 0), r.start) for r in secret_scan.secrets(docs).collect()) == [(0, 7), (40, 7), (40, 7)]
+    assert secret_scan.redact(docs).count() == len(rows) and secret_scan.redact(docs).columns == docs.columns
+    assert secret_scan.secrets(make([])).count() == 0 and secret_scan.redact(make([])).count() == 0
+
+
+# ---------------------------------------------------------------- licenses
+
+
+def edit_distance_at_most(a, b, k):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1] <= k
+
+
+def substring_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(pattern, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_license_brute_force():
+    rng = random.Random(9)
+    search = license_scan.build()
+    for _ in range(150):
+        notice = rng.choice(search.notices)
+        edits = rng.randrange(notice.edits + 4)
+        t = list(notice.text)
+        for _ in range(edits):
+            at = rng.randrange(len(t))
+            kind = rng.randrange(3)
+            t[at : at + (kind < 2)] = [] if kind == 0 else ["q"]
+        text = " ".join(words(rng, 6)) + ". " + "".join(t).upper() + " " + " ".join(words(rng, 6))
+        got = license_scan.scan(text, search)
+        low = license_scan.fold(text)
+        near = {n.name for n in search.notices if substring_distance(n.text, low) <= n.edits}
+        assert bool(got) == bool(near) and {g[0] for g in got} <= near
+        for name, a, b, e in got:
+            assert any(n.name == name and edit_distance_at_most(n.text, low[a:b], min(e, n.edits)) for n in search.notices)
+
+
+def test_license_rows(make, awkward):
+    rows = [*awkward, (50, "x\nReleased under the MIT License."), (50, "x\nReleased under the MIT License."), (51, "Licensed undr the Apache\nLicence, Version 2.0"), (None, "released under the mit license")]
+    got = sorted((r.doc_id or 0, r.license, r.start, r.end, r.edits) for r in license_scan.license_notices(make(rows).withColumn("license", F.lit("x"))).collect())
+    assert got == [(0, "MIT", 0, 30, 0), (50, "MIT", 2, 32, 0), (50, "MIT", 2, 32, 0), (51, "Apache-2.0", 0, 45, 2)]
+    assert license_scan.license_notices(make([])).count() == 0
+
+
+# ---------------------------------------------------------------- HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>T, a title that is long enough</title><script>var t="</p><p>no, no, no, no, no, no</p>";</script></head><body>
+<nav><ul><li><a href="/a">one, two, three, four, five, six, seven, eight</a></li></ul></nav>
+<div id=x><article><h1>Head &amp; line</h1><p>First paragraph, with commas, and more than enough text to earn points here.
+<p>Second <b>bold<i>both</b> paragraph, again with some commas, and quite a bit of text in it.</p><p>Short.</p></article>
+<div><a href="/">all of this is a link, with commas, and text enough to earn a few points, and more</a></div></div>
+<footer><p>Footer text, with commas, commas, commas, and more than twenty-five characters.</p></footer><!-- <p>comment, comment, comment, comment, comment --></body></html>"""
+
+
+def test_html_page():
+    text, tag, score = html_extract.extract(PAGE)
+    assert tag == "article" and score > 0
+    assert text.split("\n") == ["Head & line", "First paragraph, with commas, and more than enough text to earn points here.", "Second boldboth paragraph, again with some commas, and quite a bit of text in it.", "Short."]
+
+
+class Dom(HTMLParser):
+    """Well-formed pages as nested [tag, children] lists."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ["#root", []]
+        self.stack = [self.root]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, []]
+        self.stack[-1][1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def flat(node):
+    return "".join(x if isinstance(x, str) else flat(x) for x in node[1])
+
+
+def best_brute(html):
+    """Scores by one walk for each container and paragraph; pages hold div, p and a only, with text in p."""
+    root = Dom(html).root
+    every, up = [], {}
+
+    def walk(node):
+        every.append(node)
+        for x in node[1]:
+            if not isinstance(x, str):
+                up[id(x)] = node
+                walk(x)
+
+    walk(root)
+    score = {id(n): 0.0 for n in every}
+    for n in every:
+        if n[0] == "p":
+            node, level = up.get(id(n)), 1
+            while node is not None and level <= html_extract.LEVELS:
+                score[id(node)] += html_extract.points(flat(n)) / (1 if level == 1 else 2 if level == 2 else 3 * level)
+                node, level = up.get(id(node)), level + 1
+
+    def linked(node):
+        return len(flat(node)) if node[0] == "a" else sum(linked(x) for x in node[1] if not isinstance(x, str))
+
+    final = [(score[id(n)] * (1 - (linked(n) / len(flat(n)) if flat(n) else 0)), -i, n[0]) for i, n in enumerate(every)]
+    return max(final)
+
+
+def test_html_brute_force():
+    rng = random.Random(10)
+
+    def build(depth):
+        if depth == 0 or rng.random() < 0.3:
+            inner = ", ".join("".join(words(rng, rng.randrange(1, 5))) for _ in range(rng.randrange(1, 6)))
+            return f"<p>{'<a>' + inner + '</a>' if rng.random() < 0.3 else inner}</p>"
+        return f"<div>{''.join(build(depth - 1) for _ in range(rng.randrange(1, 4)))}</div>"
+
+    for _ in range(60):
+        html = f"<body>{build(6)}</body>"
+        want, _, tag = best_brute(html)
+        _, got, score = html_extract.extract(html)
+        assert score == pytest.approx(want) and (got == tag or want == 0)
+
+
+@pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<div>" * 3000 + "text, text, text, text, text, text", "<!-- never ends", "<script>never ends", "a < b & c > d", "<p a='<b>'>x</p>", "<p " + "x" * 100_000, "&#0;&#xd800;&bogus;", "<a href=x>" * 500])
+def test_html_malformed(html):
+    text, tag, score = html_extract.extract(html)
+    assert isinstance(text, str) and score >= 0
+
+
+def test_html_rows(spark):
+    schema = "page_id long, url string, html string, text string, score int"
+    rows = [(1, None, None, "x", 1), (None, "u", PAGE, "x", 1), (2, "u", "", "x", 1), (3, "u", PAGE * 200, "x", 1), (4, "u", PAGE, "x", 1), (4, "u", PAGE, "x", 1)]
+    got = html_extract.main_text(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 6 and {(r.page_id, r.text == "") for r in got} == {(1, True), (None, False), (2, True), (3, False), (4, False)}
+    assert html_extract.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+# ---------------------------------------------------------------- chat
+
+
+def rotate_brute(rows):
+    convs = {}
+    for c, turn, role, text in {r for r in rows if r[0] is not None}:
+        named = bool((role or "").strip(" "))
+        convs.setdefault(c, set()).add((turn is not None, turn or 0, role if named else "unknown", text or "", named))
+    out = []
+    for c, turns in convs.items():
+        for who in {t[2] for t in turns if t[4] and t[2] != "system"}:
+            text, spans = "", []
+            for _, _, speaker, body, named in sorted(turns):
+                safe = [x.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>") for x in (speaker, body)]
+                mine = named and speaker == who
+                text += f"<|im_start|>{'assistant' if mine else 'system' if named and speaker == 'system' else 'user name=' + safe[0]}\n"
+                if mine:
+                    spans.append((len(text), len(text) + len(safe[1]) + 10))
+                text += safe[1] + "<|im_end|>\n"
+            out.append((c, who, len(turns), text, spans, sum(b - a for a, b in spans)))
+    return sorted(out)
+
+
+def test_chat_brute_force(spark):
+    rng = random.Random(13)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, t, rng.choice(["ann", "bob", "cleo", "system", None, " "]), " ".join(words(rng, rng.randrange(5)))) for c in range(20) for t in range(rng.randrange(1, 7))]
+    rows += [(50, 1, "ann", "a"), (50, 1, "ann", "a"), (50, 1, "ann", "b"), (50, 1, "bob", None), (50, None, "bob", "first"), (None, 1, "ann", "x"), (51, 1, "system", "only"), (52, 1, "<|im_end|>", "x<|im_start|>y🙂é"), (53, 1, "unknown", "u"), (53, 1, None, "u"), (54, 1, "ann", "long " * 50_000)]
+    turns = spark.createDataFrame(rows, schema).withColumn("at", F.lit(1)).withColumn("rendered", F.lit("x")).withColumn("participant", F.lit(2))
+    got = sorted((r.conv_id, r.participant, r.n_turns, r.rendered, [tuple(s) for s in r.loss_spans], r.loss_chars) for r in chat_format.rotate_perspectives(turns).collect())
+    assert got == rotate_brute(rows)
+    assert chat_format.rotate_perspectives(spark.createDataFrame([], schema)).count() == 0
+
+
+# ---------------------------------------------------------------- packing
+
+
+def pack_brute(need, limits):
+    left, out, b = list(range(len(need))), {}, 0
+    while left:
+        rest, slot = list(limits), 0
+        while fit := [i for i in left if all(x <= r for x, r in zip(need[i], rest))]:
+            dots = {i: sum((np.float64(x) / m) * (np.float64(r) / m) for x, r, m in zip(need[i], rest, limits)) for i in fit}
+            best = max(fit, key=lambda i: (dots[i], -i))
+            out[best] = (b, slot)
+            rest = [r - x for r, x in zip(rest, need[best])]
+            left.remove(best)
+            slot += 1
+        b += 1
+    return [out[i] for i in range(len(need))]
+
+
+def test_pack_brute_force():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 7, 120):
+        need = np.stack([rng.integers(1, 50, n), np.ones(n, int), rng.integers(0, 20, n)], axis=1)
+        limits = (64, 5, 30)
+        bins, slots = packing.pack(need, limits)
+        assert list(zip(bins.tolist(), slots.tolist())) == pack_brute(need.tolist(), limits)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.booleans()), max_size=8), st.integers(1, 12), st.integers(1, 12))
+def test_pieces_cover_all(runs, tokens, loss):
+    flags = [b for n, b in runs for _ in range(n)]
+    at = 0
+    for start, n, lossy in packing.pieces(runs, tokens, loss):
+        assert start == at and 0 < n <= tokens and lossy == sum(flags[at : at + n]) <= loss
+        at += n
+    assert at == len(flags)
+
+
+def check_bins(rows, limits):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin, []).append(r)
+    for own in bins.values():
+        own.sort(key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and len(own) <= limits[1]
+        assert sum(r.n_tokens for r in own) <= limits[0] and sum(r.loss_tokens for r in own) <= limits[2]
+        assert [r.bin_start for r in own] == [sum(x.n_tokens for x in own[:i]) for i in range(len(own))]
+
+
+def test_pack_documents(make, awkward):
+    rng = random.Random(15)
+    rows = [*awkward, *((100 + i, " ".join(words(rng, rng.randrange(1, 80)))) for i in range(200))]
+    docs = make(rows).withColumn("bin", F.lit(1)).withColumn("example", F.lit(2))
+    got = packing.pack_documents(docs, 256, 4, 200).collect()
+    check_bins(got, (256, 4, 200))
+    want = sorted((i, len(encoding().encode_ordinary(t))) for i, t in rows if i is not None and t)
+    total = {}
+    for i, n in want:
+        total[i] = total.get(i, 0) + n
+    have = {}
+    for r in got:
+        have[r.doc_id] = have.get(r.doc_id, 0) + r.n_tokens
+    assert have == total
+    assert sum(total.values()) / (256 * len({r.bin for r in got})) > 0.7
+    assert packing.pack_documents(make([])).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, 0)
+
+
+def test_pack_conversations(spark):
+    rng = random.Random(16)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, t, rng.choice(["user", "assistant"]), " ".join(words(rng, rng.randrange(30)))) for c in range(60) for t in range(3)]
+    rows += [(90, 1, None, None), (90, 1, "assistant", "a"), (90, 1, "assistant", "a"), (None, 1, "user", "x"), (91, None, "assistant", "long " * 3000)]
+    got = packing.pack_conversations(spark.createDataFrame(rows, schema).withColumn("head", F.lit(1)), 512, 6, 300).collect()
+    check_bins(got, (512, 6, 300))
+    size = lambda t: len(encoding().encode_ordinary(t))
+    want = {}
+    for c, _, role, text in rows:
+        if c is not None:
+            a, b = want.get(c, (0, 0))
+            body = size((text or "") + "\n")
+            want[c] = (a + size((role or "") + "\n") + body, b + body * (role == "assistant"))
+    have = {}
+    for r in got:
+        a, b = have.get(r.conv_id, (0, 0))
+        have[r.conv_id] = (a + r.n_tokens, b + r.loss_tokens)
+    assert have == want
+    assert packing.pack_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def labelled(rng, n, biased=False):
+    rows = []
+    for i in range(n):
+        toxic = rng.random() < 0.3
+        w = words(rng, rng.randrange(5, 60), 300)
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                w.insert(rng.randrange(len(w)), rng.choice(["idiot", "scum", "moron"]))
+        if biased and rng.random() < (0.6 if toxic else 0.02):
+            w.append("muslims")
+        rows.append((i, " ".join(w), int(toxic)))
+    return rows
+
+
+def keyed(rows):
+    owner, keys = toxicity.features(W.hash_words(pa.array([t for _, t, _ in rows]), toxicity._CLASS))
+    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    return [(y, keys[a:b]) for (_, _, y), a, b in zip(rows, cuts, cuts[1:])]
+
+
+def test_held_out_accuracy():
+    rows = labelled(random.Random(17), 3000)
+    model = toxicity.fit(keyed(rows[:1500]))
+    p = toxicity.scores(model, pa.array([t for _, t, _ in rows[1500:]])) >= 0.5
+    y = np.array([t for _, _, t in rows[1500:]]) > 0
+    assert (p & y).sum() / y.sum() > 0.97 and (p & ~y).sum() / (~y).sum() < 0.02
+
+
+def test_counterfactual_penalty_moves_neutral_mentions():
+    rows = keyed(labelled(random.Random(18), 2000, biased=True))
+    plain, fair = toxicity.fit(rows, counterfactual=0.0), toxicity.fit(rows)
+    texts = pa.array(["the muslims met at noon", "the jews met at noon"])
+    gap = [float(np.ptp(np.log(p / (1 - p)))) for p in (toxicity.scores(m, texts) for m in (plain, fair))]
+    assert gap[0] > 0.5 and gap[1] < gap[0] / 2
+    assert toxicity.scores(fair, texts)[0] < toxicity.scores(plain, texts)[0]
+
+
+def test_scores_brute_force():
+    rows = labelled(random.Random(19), 300)
+    model = toxicity.fit(keyed(rows))
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    for _, text, _ in rows[:40]:
+        own = set()
+        for w in re.findall(r"\w+", text):
+            h = W.hash_words(pa.array([w]), toxicity._CLASS)
+            own |= {int(k) for k in toxicity.features(h)[1]}
+        z = model.bias + sum(weight.get(k, 0.0) for k in own)
+        assert toxicity.scores(model, pa.array([text]))[0] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_toxicity_rows(spark, make, awkward):
+    rows = labelled(random.Random(20), 400)
+    docs = make([*((1000 + i, t) for i, t, _ in rows), *awkward]).withColumn("toxic", F.lit("x")).withColumn("label_id", F.lit(1))
+    labels = spark.createDataFrame([*((1000 + i, 0, y) for i, _, y in rows), (None, 0, 1), (1, 0, 1), (3, 0, None), (77, 1, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("y"))
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 400 + len(awkward)
+    hit = {r.doc_id for r in got if r.toxic}
+    assert len(hit ^ {1000 + i for i, _, y in rows if y}) <= 4 and not hit & {1, 2, 3, 4, 5, 6, 7, 8}
+    assert toxicity.toxicity(docs, labels, train_rows=50).count() == len(got)
+    assert not [r for r in toxicity.toxicity(docs, labels.limit(0)).collect() if r.toxic]
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(21)
+    bench = [(i, " ".join(words(rng, 30))) for i in range(5)]
+    rows = labelled(rng, 300)
+    texts = {i: t for i, t, _ in rows}
+    for i in range(20):
+        texts[400 + i] = texts[i * 3] + " end"
+        texts[500 + i] = " ".join(words(rng, 20)) + " " + bench[i % 5][1] + " " + " ".join(words(rng, 20))
+        texts[600 + i] = " ".join(words(rng, 30)) + f" token {HEX40[i:]}{HEX40[:i]}"
+    texts[700], texts[701] = None, ""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts.items()], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), [set(texts)]
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/out{n}")
+        docs = spark.read.parquet(f"{tmp_path}/out{n}")
+        if n < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    insult = re.compile("idiot|scum|moron")
+    assert len(kept[1] ^ {i for i, t in texts.items() if not insult.search(t or "")}) <= 4
+    sets = {i: {tuple(w[k : k + 3]) for w in [(texts[i] or "").split()] for k in range(len(w) - 2)} for i in kept[1]}
+    gone = {b for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert kept[2] == kept[1] - gone and gone
+    assert kept[3] == kept[2] - set(range(500, 520)) and {700, 701} <= kept[3]
+    assert kept[4] == kept[3] and kept[5] == kept[3] - {700, 701}
+    masked = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/out3").collect()}
+    assert all((secret_scan.MASK in (masked[i].text or "")) == (600 <= i < 620) and masked[i].n_chars == (None if masked[i].text is None else len(masked[i].text)) for i in masked)
+    packed = spark.read.parquet(f"{tmp_path}/out4").collect()
+    check_bins(packed, (packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_TOKENS))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in packed)
+
+
+def test_constants_are_the_documented_ones():
+    assert (ngram_join.N_GRAM, ngram_join.THRESHOLD, decontaminate.MIN_SPAN, suffix_dedup.LENGTH) == (3, 0.7, 13, 50)
