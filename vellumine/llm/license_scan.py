@@ -2,7 +2,8 @@
 
 A notice that occurs with at most k edits keeps at least one of any k + 1 pieces
 of it unchanged. The pieces of all notices are found in one pass of an automaton;
-around each hit the bounded-error matching of the regex library decides.
+around each hit, unless it lacks too many grams of the notice, the bounded-error
+matching of the regex library decides.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vellumine.llm.common import row_slices, table
 
+GRAM = 3
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
 
@@ -50,6 +52,8 @@ class Notice(NamedTuple):
     text: str
     edits: int
     pattern: regex.Pattern
+    grams: tuple[str, ...]
+    least: int  #: of the grams, so many are left unchanged by that many edits
 
 
 class Search(NamedTuple):
@@ -69,7 +73,8 @@ def build(notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> Search:
     for n, (name, text) in enumerate(notices):
         text = fold(text)
         k = len(text) // chars_per_edit
-        out.append(Notice(name, text, k, regex.compile(f"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}")))
+        grams = tuple(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+        out.append(Notice(name, text, k, regex.compile(f"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}"), grams, len(grams) - GRAM * k))
         for offset, piece in split(text, k + 1):
             seeds.setdefault(piece, []).append((n, offset))
     automaton = ahocorasick.Automaton()
@@ -87,6 +92,24 @@ def fold(text: str) -> str:
     return low.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace(" ", " ")
 
 
+def _verify(low: str, lo: int, hi: int, notice: Notice) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) in a window: exact ones, and what bounded-error matching finds beside them.
+
+    Each edit changes at most ``GRAM`` grams, so a window that lacks too many of
+    them holds no match; that is cheaper to tell than to match.
+    """
+    size = len(notice.text)
+    while (at := low.find(notice.text, lo, hi)) >= 0:
+        yield from _verify(low, lo, at, notice)
+        yield at, at + size, 0
+        lo = at + size
+    if hi - lo >= size - notice.edits:
+        window = low[lo:hi]
+        if sum(g in window for g in notice.grams) >= notice.least:
+            for m in notice.pattern.finditer(low, lo, hi):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+
+
 def scan(text: str, search: Search) -> list[tuple[str, int, int, int]]:
     """(license, start, end, edits) of each notice, in order of place."""
     low = fold(text)
@@ -108,7 +131,7 @@ def scan(text: str, search: Search) -> list[tuple[str, int, int, int]]:
                 merged.append([lo, hi])
         notice = search.notices[n]
         for lo, hi in merged:
-            found += [(notice.name, m.start(), m.end(), sum(m.fuzzy_counts)) for m in notice.pattern.finditer(low, lo, hi)]
+            found += [(notice.name, *x) for x in _verify(low, lo, hi, notice)]
     # of notices that overlap the one with the fewest edits stays, then the longest
     found.sort(key=lambda x: (x[3], x[1] - x[2], x[1], x[0]))
     kept: list[tuple[str, int, int, int]] = []
