@@ -15,7 +15,7 @@ FORM_DEPTH, FORM_CALLS, FORM_INPUT, FORM_OUTPUT = 32, 16_384, 64 << 20, 16 << 20
 MARK = "\x01"
 
 _TOKEN = re.compile(
-    rb"(?:[\0\t\n\x0c\r ]+|%[^\r\n]*)*"
+    rb"(?:[\0\t\n\x0c\r ]++|%[^\r\n]*+)*+"
     rb"(?:(?P<num>[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?=[\0\t\n\x0c\r ()<>\[\]{}/%]|\Z))"
     rb"|\((?P<plain>[^()\\]*)\)|(?P<open>\()|(?P<dict><<)|<(?P<hex>[^>]*)>?|(?P<start>\[)|(?P<end>\])"
     rb"|/(?P<name>[^\0\t\n\x0c\r ()<>\[\]{}/%]*)|(?P<op>[^\0\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<stray>>>?|[){}]))"

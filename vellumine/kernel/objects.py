@@ -18,7 +18,7 @@ MAX_DEPTH, MAX_ENTRIES = 256, 4096
 I64_MAX = 2**63 - 1
 U32_MAX = 2**32 - 1
 
-_SKIP = re.compile(rb"(?:[\0\t\n\x0c\r ]+|%[^\r\n]*)*")
+_SKIP = re.compile(rb"(?:[\0\t\n\x0c\r ]++|%[^\r\n]*+)*+")
 _REGULAR = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]*")
 _BLANKS = re.compile(rb"[ \t]*")
 _DIGITS = re.compile(rb"[0-9]*")
