@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import regex
+
 from vellumine.kernel.content import octets
 
 #: White space as Unicode defines it, which is less than Python's.
@@ -13,6 +15,8 @@ _SPLIT = re.compile(_WS + "+")
 _NUMBERED = re.compile(rf"([0-9]+(?:\.[0-9]+)*)\.?{_WS}+")
 _BULLET = re.compile(rf"[-*•◦▪‣⁃]{_WS}+")
 _ORDERED = re.compile(rf"([0-9]+)[.)]{_WS}+")
+#: Letters, and those that aren't capital, by Unicode's properties.
+_LETTER, _SMALL = regex.compile(r"\p{Alphabetic}"), regex.compile(r"(?V1)[\p{Alphabetic}--\p{Uppercase}]")
 SECTIONS = {"Abstract": 3, "Introduction": 1} | dict.fromkeys("References|Bibliography|Conclusion|Conclusions|Acknowledgements|Acknowledgments|Related Work|Related Works".split("|"), 2)
 
 
@@ -25,8 +29,7 @@ def heading_shaped(line: str) -> bool:
 
 
 def all_caps(line: str) -> bool:
-    letters = [c for c in line if c.isalpha()]
-    return bool(letters) and heading_shaped(line) and all(c.isupper() for c in letters) and words(line) <= 12
+    return bool(_LETTER.search(line)) and not _SMALL.search(line) and heading_shaped(line) and words(line) <= 12
 
 
 def numbered(line: str) -> bool:

@@ -95,7 +95,6 @@ def convert_folder(spark: SparkSession, folder: str, out: str, *, page_breaks: b
     return {"converted": written, "failed": failed}
 
 
-@F.pandas_udf(schemas.RESULT)
 def pdf_to_markdown(content: pd.Series) -> pd.DataFrame:
     """SQL function: struct(markdown, images, error) of a binary column."""
     rows = []
@@ -109,7 +108,6 @@ def pdf_to_markdown(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["markdown", "images", "error"])
 
 
-@F.udtf(returnType=f"page_idx int, seq int, {schemas.SPAN}")
 class PdfSpans:
     """SQL table function: the spans of one document; none if it can't be read."""
 
@@ -125,6 +123,6 @@ class PdfSpans:
 
 def register(spark: SparkSession) -> None:
     """``pdf_to_markdown(content)``, ``pdf_spans(content)`` and the data source ``pdf`` for a session."""
-    spark.udf.register("pdf_to_markdown", pdf_to_markdown)
-    spark.udtf.register("pdf_spans", PdfSpans)
+    spark.udf.register("pdf_to_markdown", F.pandas_udf(pdf_to_markdown, schemas.RESULT))
+    spark.udtf.register("pdf_spans", F.udtf(PdfSpans, returnType=f"page_idx int, seq int, {schemas.SPAN}"))
     files.register(spark)

@@ -41,7 +41,7 @@ def _run(df: DataFrame, folder: str) -> DataFrame:
 def write_markdown(results: DataFrame, folder: str, name: str = "stem") -> DataFrame:
     """``{name}.md`` in ``folder``, which all executors share, for each row with Markdown; gives the list of files once an action runs."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    return _run(results.where("markdown IS NOT NULL").select(F.concat(F.col(name).cast("string"), F.lit(".md")), F.encode("markdown", "UTF-8")), folder)
+    return _run(results.where("markdown IS NOT NULL").select(F.concat(F.col(name).cast("string"), F.lit(".md")).alias("name"), F.encode("markdown", "UTF-8").alias("data")), folder)
 
 
 def write_images(results: DataFrame, folder: str, prefix: str | None = None) -> DataFrame:
@@ -49,4 +49,4 @@ def write_images(results: DataFrame, folder: str, prefix: str | None = None) ->
     Path(folder).mkdir(parents=True, exist_ok=True)
     name = F.col("i.filename") if prefix is None else F.concat_ws("/", F.col("__p").cast("string"), F.col("i.filename"))
     rows = results.select(*([F.col(prefix).alias("__p")] if prefix else []), F.explode("images").alias("i"))
-    return _run(rows.select(name, F.col("i.bytes")), folder)
+    return _run(rows.select(name.alias("name"), F.col("i.bytes").alias("data")), folder)
