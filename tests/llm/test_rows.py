@@ -432,6 +432,17 @@ def test_scores_brute_force():
         assert toxicity.scores(model, pa.array([text]))[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_selection_in_spark_is_the_same(spark):
+    rows = keyed(labelled(random.Random(22), 500, biased=True))
+    held = spark.createDataFrame([(int(y), k.tobytes()) for y, k in rows], "toxic int, keys binary")
+    toxic = np.array([y for y, _ in rows], float)
+    always = np.concatenate(toxicity.identity_hashes())
+    owner = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
+    want = toxicity._select(np.concatenate([k for _, k in rows]), owner, toxic, always, 20)
+    got = toxicity._select_spark(held, len(rows), int(toxic.sum()), always, 20)
+    assert got.tolist() == want.tolist() and len(got) >= 3
+
+
 def test_toxicity_rows(spark, make, awkward):
     rows = labelled(random.Random(20), 400)
     docs = make([*((1000 + i, t) for i, t, _ in rows), *awkward]).withColumn("toxic", F.lit("x")).withColumn("label_id", F.lit(1))
