@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import row_slices, table
+from vellumine.llm.common import cut, row_slices, table
 
 U = np.uint64
 #: Labelled rows that the classifier is fitted on, at most.
@@ -101,20 +101,23 @@ def _select(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray, always: np.n
 
 
 def fit(rows: list[tuple[int, np.ndarray]], groups=IDENTITY, counterfactual: float = COUNTERFACTUAL, limit: int = FEATURES) -> Model:
-    """Fit on (label, keys of a document) rows; without both labels the model rejects nothing."""
+    """Fit on (label, keys of a document) rows held in memory."""
     toxic = np.array([y for y, _ in rows], float)
-    if len(rows) == 0 or toxic.min() == toxic.max():
-        return Model(np.empty(0, U), np.empty(0), -10.0)
     owner = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
-    keys = np.concatenate([k for _, k in rows])
-    sets = identity_hashes(groups)
-    vocab = _select(keys, owner, toxic, np.concatenate(sets), limit)
+    keys = np.concatenate([k for _, k in rows]) if rows else np.empty(0, U)
+    vocab = _select(keys, owner, toxic, np.concatenate(identity_hashes(groups)), limit)
     at = np.searchsorted(vocab, keys)
     ok = np.flatnonzero(vocab[np.minimum(at, len(vocab) - 1)] == keys) if len(vocab) else np.empty(0, np.int64)
-    doc, col = owner[ok], at[ok]
+    return descend(toxic, owner[ok], at[ok], vocab, groups, counterfactual)
+
+
+def descend(toxic: np.ndarray, doc: np.ndarray, col: np.ndarray, vocab: np.ndarray, groups=IDENTITY, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Weights of ``vocab`` from the (document, column) pairs that are set; without both labels the model rejects nothing."""
+    if len(toxic) == 0 or toxic.min() == toxic.max():
+        return Model(np.empty(0, U), np.empty(0), -10.0)
     # a swap moves a document's score by the difference of two weights; every ordered pair inside a set counts by its documents
     a, b, times = [], [], []
-    for s in sets:
+    for s in identity_hashes(groups):
         here = [(int(np.searchsorted(vocab, h)) if h in vocab else -1) for h in s]
         for x in here:
             n = int((col == x).sum()) if x >= 0 else 0
@@ -122,7 +125,7 @@ def fit(rows: list[tuple[int, np.ndarray]], groups=IDENTITY, counterfactual: flo
                 if n and y != x:
                     a.append(x), b.append(y), times.append(n / (len(s) - 1))
     a, b, times = np.array(a, int), np.array(b, int), np.array(times)
-    n, m = len(rows), len(vocab)
+    n, m = len(toxic), len(vocab)
     weight = np.where(toxic > 0, n / (2 * toxic.sum()), n / (2 * (n - toxic.sum())))
     w, bias = np.zeros(m + 1), 0.0
     m1, m2, b1, b2 = np.zeros(m + 1), np.zeros(m + 1), 0.0, 0.0
@@ -160,11 +163,55 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on up to ``rows`` labelled documents, those whose ids hash least."""
     some = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int")).where("label_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     some = some.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(rows)
-    known = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
-    got = known.select("text", "toxic").mapInArrow(_labelled, "toxic int, keys binary").toArrow()
-    pairs = zip(got.column(0).to_pylist(), got.column(1).to_pylist())
+    known = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    held = cut(known.mapInArrow(_labelled, "toxic int, keys binary"), "labelled-features")
+    total, ones = held.agg(F.count("*"), F.sum("toxic")).first()
+    if not total or ones in (0, total):
+        return descend(np.full(total, float(bool(ones))), np.empty(0, int), np.empty(0, int), np.empty(0, U))
+    vocab = _select_spark(held, total, ones, np.concatenate(identity_hashes()))
+    got = held.mapInArrow(_columns(vocab), "toxic int, columns binary").toArrow()
     # the order of arrival differs between runs; sums in another order would differ in their last bits
-    return fit([(y, np.frombuffer(k, U)) for y, k in sorted(pairs)])
+    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+    cols = [np.frombuffer(c, np.int32) for _, c in rows]
+    return descend(np.array([y for y, _ in rows], float), np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate(cols), vocab)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, documents that have it, toxic ones among them) of each batch."""
+    for batch in batches:
+        keys = [np.frombuffer(k, np.int64) for k in batch.column(1).to_pylist()]
+        if keys:
+            toxic = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            every, at = np.unique(np.concatenate(keys), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.bincount(at, minlength=len(every))), pa.array(np.bincount(at, weights=toxic, minlength=len(every)).astype(np.int64))], names=["key", "n", "pos"])
+
+
+def _select_spark(held: DataFrame, total: int, ones: int, always: np.ndarray, limit: int = FEATURES) -> np.ndarray:
+    """What ``_select`` gives, with the counting and the test done by the executors."""
+    counts = held.mapInArrow(_tally, "key long, n long, pos long").groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    n, pos, p, q = F.col("n"), F.col("pos"), ones / total, (total - ones) / total
+    g = 2 * (part(pos, n * p) + part(n - pos, n * q) + part(ones - pos, (total - n) * p) + part(total - n - ones + pos, (total - n) * q))
+    best = counts.where(n >= LEAST_DOCS).withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "key").limit(limit).select("key")
+    forced = counts.where(F.col("key").isin(always.view(np.int64).tolist())).select("key")
+    return np.unique(best.unionAll(forced).toArrow().column(0).to_numpy().view(U))
+
+
+def _columns(vocab: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in batch.column(1).to_pylist():
+                keys = np.frombuffer(k, U)
+                at = np.searchsorted(vocab, keys)
+                ok = vocab[np.minimum(at, len(vocab) - 1)] == keys if len(vocab) else np.zeros(len(keys), bool)
+                out.append(at[ok].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "columns"])
+
+    return run
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
