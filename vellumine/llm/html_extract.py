@@ -9,6 +9,7 @@ text, together with those of its siblings that score well themselves.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,7 +28,7 @@ LONG_PARAGRAPH, FEW_LINKS = 80, 0.25
 #: Levels above a paragraph that get points.
 LEVELS = 5
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|[!?][^>]*>)""", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg iframe".split())
 _SKIP = frozenset("nav footer aside form button select option header menu dialog".split())
@@ -66,6 +67,16 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     """The tree, and its nodes in order of their opening; tags that aren't closed end with what holds them."""
     root = Node("#root", None)
     nodes, top, at = [root], root, 0
+    opened: Counter[str] = Counter()  # tags on the way from the root to ``top``; what isn't there needn't be looked for
+
+    def leave(node: Node) -> Node:
+        """The parent of an open node, with all that is open inside it closed."""
+        x = top
+        while True:
+            opened[x.tag] -= 1
+            if x is node:
+                return node.parent
+            x = x.parent
 
     def text(a: int, b: int) -> None:
         if a < b and (t := html[a:b]) and not t.isspace():
@@ -80,18 +91,18 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         tag = tag.lower()
         if m[1]:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                top = node.parent
+            if opened[tag] > 0:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = leave(node)
             continue
-        if rule := _CLOSES.get(tag):
+        if (rule := _CLOSES.get(tag)) and any(opened[t] > 0 for t in rule[0]):
             node = top
             while node.parent and node.tag not in rule[0] and node.tag not in rule[1]:
                 node = node.parent
             if node.tag in rule[0]:
-                top = node.parent
+                top = leave(node)
         if tag in _VOID:
             if tag in ("br", "hr"):
                 top.items.append("\n")
@@ -104,6 +115,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         node = Node(tag, top)
         top.items.append(node)
         nodes.append(node)
+        opened[tag] += 1
         top = node
     text(at, len(html))
     return root, nodes
