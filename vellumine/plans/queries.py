@@ -222,7 +222,7 @@ SQL_HISTOGRAM = f"WITH {_HIST} SELECT event_type, bin, n FROM h"
 
 
 def column_gaps(spark, sf):
-    """Order totals of each priority as left edges; two fifths of the bins between are emptied by rounding."""
+    """Orders of each priority as left edges of text in two columns."""
     x = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 50).otherwise(400 + F.col("o_custkey") % 50).cast("double")
     gaps = layout.column_gaps(_table(spark, sf, "orders").where("o_custkey IS NOT NULL").select("o_orderpriority", x.alias("x")), ["o_orderpriority"])
     return gaps.select("o_orderpriority", F.size("gaps").alias("n_gaps"), F.round(F.get("gaps", F.lit(0)), 6).alias("first_gap"))
@@ -528,6 +528,62 @@ SQL_IMAGES = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '![](f
   CAST(doc_id % 3 AS INT) AS n_images, CASE WHEN doc_id % 3 > 0 THEN strlen(text) END AS first_size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
 
 
+def _table_pdf(ruled: bool):
+    """Rows of (key, name), as text in two columns or between ruling lines."""
+
+    def build(rows: list[dict]) -> bytes:
+        b, y = B.Builder(), 700.0
+        font = b.font()
+        content = [b"BT /F1 10 Tf"]
+        for r in rows:
+            for x, t in ((50, str(r["k"])), (120, r["name"])):
+                content.append(b"1 0 0 1 %d %g Tm %s Tj" % (x, y, B.literal(t)))
+            y -= 20
+        content.append(b"ET")
+        if ruled:
+            low = y + 14
+            content += [b"45 %g m 245 %g l" % (low + 20 * i, low + 20 * i) for i in range(len(rows) + 1)]
+            content += [b"%d %g m %d %g l" % (x, low, x, low + 20 * len(rows)) for x in (45, 115, 245)]
+            content.append(b"S")
+        b.page(b"\n".join(content), b"/Font <</F1 %d 0 R>>" % font)
+        return b.build()
+
+    return build
+
+
+def _table_query(ruled: bool):
+    def run(spark, sf):
+        nations = _table(spark, sf, "nation").where("n_nationkey IS NOT NULL AND n_name IS NOT NULL")
+        rows = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))).alias("rows"))
+        return decode.convert_documents(as_pdf(rows, "n_regionkey", "rows", _table_pdf(ruled))).select("n_regionkey", "markdown")
+
+    return run
+
+
+SQL_TABLES = """WITH r AS (SELECT n_regionkey, n_nationkey, '| ' || n_nationkey || ' | ' || trim(n_name) || ' |' || CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, n_name) = 1 THEN chr(10) || '| --- | --- |' ELSE '' END AS line FROM nation)
+SELECT n_regionkey, string_agg(line, chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM r GROUP BY n_regionkey"""
+
+
+def _styled_pdf(v: dict) -> bytes:
+    b = B.Builder()
+    bold, italic = v["size"] % 2 == 0, v["size"] % 3 == 0
+    base = b"Times" + (b"-" if bold or italic else b"") + b"Bold" * bold + b"Italic" * italic
+    plain, styled = b.font(), b.font(base)
+    content = b"BT /F1 12 Tf 1 0 0 1 50 700 Tm (Parts.) Tj 1 0 0 1 50 650 Tm (It is) Tj /F2 12 Tf 1 0 0 1 250 650 Tm %s Tj /F1 12 Tf 1 0 0 1 450 650 Tm (here.) Tj ET"
+    b.page(content % B.literal(v["name"]), b"/Font <</F1 %d 0 R /F2 %d 0 R>>" % (plain, styled))
+    return b.build()
+
+
+def pdf_emphasis(spark, sf):
+    part = _table(spark, sf, "part").where("p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_size IS NOT NULL")
+    files = as_pdf(part.select("p_partkey", F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size")).alias("v")), "p_partkey", "v", _styled_pdf)
+    return decode.convert_documents(files).select("p_partkey", "markdown")
+
+
+SQL_PDF_EMPHASIS = """SELECT p_partkey, '# Parts.' || chr(10) || chr(10) || 'It is ' || w || p_name || w || ' here.' || chr(10) AS markdown
+FROM (SELECT *, (CASE WHEN p_size % 2 = 0 THEN '**' ELSE '' END) || (CASE WHEN p_size % 3 = 0 THEN '*' ELSE '' END) AS w FROM part) WHERE p_partkey IS NOT NULL AND p_name IS NOT NULL AND p_size IS NOT NULL"""
+
+
 def _broken_pdf(v: dict) -> bytes:
     data = B.text_pdf([_split(v["text"])])
     old, new = [(b"", b""), (b"%PDF-", b"%pdf-"), (b"startxref", b"startxxxx"), (b"/Root 1 0 R", b"/Roof 1 0 R"), (b"/Length", b"/Langth")][v["doc_id"] % 5]
@@ -600,6 +656,9 @@ _ALL: dict[str, tuple[Callable, str]] = {
     "pdf_multipage_roundtrip": (pdf_multipage_roundtrip, SQL_MULTIPAGE),
     "pdf_tagged_headings": (pdf_tagged_headings, SQL_TAGGED),
     "pdf_images": (pdf_images, SQL_IMAGES),
+    "pdf_borderless_tables": (_table_query(False), SQL_TABLES),
+    "pdf_ruled_tables": (_table_query(True), SQL_TABLES),
+    "pdf_emphasis": (pdf_emphasis, SQL_PDF_EMPHASIS),
     "pdf_errors": (pdf_errors, SQL_ERRORS),
     "token_quality": (token_quality_by_role, SQL_QUALITY),
 }
