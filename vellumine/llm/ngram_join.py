@@ -40,7 +40,7 @@ N_GRAM, THRESHOLD = 3, 0.7
 BLOCK_GRAMS = 1 << 21
 BLOCK_DOCS = 65_000
 #: N-grams that meet in one worker; beyond it a component is cut in blocks.
-MEET_GRAMS = 1 << 22
+MEET_GRAMS = 1 << 21
 #: Cost of a probe against a merge step, for how many lists count as long.
 MU = 0.0085
 
@@ -293,14 +293,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRE
     star = prefix.select(F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("gram")).alias("v"))
     label = components(star)
     run = Window.partitionBy("label").orderBy("n", "doc_id")
-    placed = (
+    placed = cut(
         sets.select("doc_id", "n", (F.length("grams") / 8).cast("long").alias("m"))
         .join(label, F.col("doc_id") == F.col("node"))
-        .select("doc_id", "n", "label", F.floor((F.sum("m").over(run) - F.col("m")) / F.lit(MEET_GRAMS)).cast("int").alias("block"))
-        .withColumn("last", F.max("block").over(Window.partitionBy("label")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("doc_id", "n", "label", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+        .select("doc_id", "n", "label", F.floor((F.sum("m").over(run) - F.col("m")) / F.lit(MEET_GRAMS)).cast("int").alias("block")),
+        "placed",
     )
+    # blocks follow each other by size; two meet only if the largest set of the first is large enough for the smallest of the second
+    ranges = placed.groupBy("label", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    first_of, second_of = ranges.select("label", F.col("block").alias("bi"), "hi"), ranges.select("label", F.col("block").alias("bj"), "lo")
+    meetings = first_of.join(second_of, "label").where((F.col("bi") <= F.col("bj")) & (F.col("hi") * t.denominator >= F.col("lo") * t.numerator)).select("label", "bi", "bj")
+    sides = meetings.select("label", "bi", "bj", F.col("bi").alias("block")).unionAll(meetings.where("bi < bj").select("label", "bi", "bj", F.col("bj").alias("block")))
+    placed = placed.join(sides, ["label", "block"])
     together = placed.join(sets, ["doc_id", "n"]).repartition(partitions(docs.sparkSession), "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
     pairs = together.mapInArrow(_meet(t), PAIRS).unionByName(copies).where("doc_id_a <> doc_id_b").distinct()
     return pairs.withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")))
