@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import binary_views, partitions
+from vellumine.llm.common import binary_views, lean, partitions
 
 U = np.uint64
 KEY_BITS = 56
@@ -179,6 +179,6 @@ def repeated_keys(
     ``with_keys`` they don't travel back, and ``keys`` are zeros.
     """
     parts = partitions(df.sparkSession)
-    sent = df.mapInArrow(_send(make, parts, bits), _SCHEMA)
-    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(_count(parts, with_keys), _SCHEMA)
-    return counted.repartitionById(parts, F.col("part")).mapInArrow(_return(finish, with_keys), schema)
+    sent = df.mapInArrow(lean(_send(make, parts, bits)), _SCHEMA)
+    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(lean(_count(parts, with_keys)), _SCHEMA)
+    return counted.repartitionById(parts, F.col("part")).mapInArrow(lean(_return(finish, with_keys)), schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_LIMIT, batches_by_key, cut, int_column, partitions, row_slices, table
+from vellumine.llm.common import BROADCAST_LIMIT, batches_by_key, cut, int_column, lean, partitions, row_slices, table
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 _TEXTS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("canon", pa.binary()), ("ids", pa.list_(pa.int64()))])
@@ -90,7 +90,7 @@ def exact_groups(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> Dat
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    digests = cut(src.mapInArrow(_digests, "doc_id long, hi long, lo long"), "digests")
+    digests = cut(src.mapInArrow(lean(_digests), "doc_id long, hi long, lo long"), "digests")
     counted = digests.withColumn("n", F.count("*").over(Window.partitionBy("hi", "lo")))
     alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("group_id"), F.col("n").alias("n_copies"))
     several = digests.groupBy("hi", "lo").count().where("count > 1").select("hi", "lo")
@@ -98,11 +98,11 @@ def exact_groups(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> Dat
     several = cut(several, "repeated-digests")
     if several.count() * 64 <= broadcast_limit:  # a number in a Python set takes about 60 bytes
         shared = spark.sparkContext.broadcast(np.unique(several.select("hi").toArrow().column(0).to_numpy()))
-        texts = src.mapInArrow(_texts(shared), schema)
+        texts = src.mapInArrow(lean(_texts(shared)), schema)
     else:
-        texts = src.mapInArrow(_texts(None), schema).join(several.hint("shuffle_hash"), ["hi", "lo"], "left_semi")
+        texts = src.mapInArrow(lean(_texts(None)), schema).join(several.hint("shuffle_hash"), ["hi", "lo"], "left_semi")
     together = texts.repartition(partitions(spark), "hi", "lo").sortWithinPartitions("hi", "lo")
-    return alone.unionByName(together.mapInArrow(_compare, "doc_id long, group_id long, n_copies long"))
+    return alone.unionByName(together.mapInArrow(lean(_compare), "doc_id long, group_id long, n_copies long"))
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import row_slices, table
+from vellumine.llm.common import lean, row_slices, table
 
 #: Paragraphs shorter than this earn nothing.
 MIN_CHARS = 25
@@ -241,7 +241,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, *zip(*rows)), _ARROW.types)], schema=_ARROW)
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, container string, score double, n_chars long, text string")
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(lean(run), "page_id long, container string, score double, n_chars long, text string")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import row_slices, table
+from vellumine.llm.common import lean, row_slices, table
 
 GRAM = 3
 #: One edit is allowed for so many characters of a notice.
@@ -167,7 +167,7 @@ def license_notices(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHAR
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import batches_by_key, binary_views, cut, int_column, partitions, pinned, table
+from vellumine.llm.common import batches_by_key, binary_views, cut, int_column, lean, partitions, pinned, row_slices, table
 from vellumine.llm.components import components
 from vellumine.llm.exchange import KEY_BITS, MAX_COUNT, Block, repeated_keys
 
@@ -84,20 +84,18 @@ def _from_text(size: int):
         def block() -> Block:
             return (np.concatenate(ids), np.concatenate(ns)), np.concatenate(keys), np.concatenate(refs)
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                values, null = int_column(part, "doc_id")
-                part, values = part.filter(pa.array(~null)), values[~null]
-                owner, key = gram_sets(part.column("text"), size)
-                ids.append(values)
-                ns.append(np.bincount(owner, minlength=len(values)))
-                keys.append(key)
-                refs.append((owner + docs).astype(np.uint32))
-                docs, grams = docs + len(values), grams + len(key)
-                if grams >= BLOCK_GRAMS or docs + 2000 > BLOCK_DOCS:
-                    yield block()
-                    ids, ns, keys, refs, docs, grams = [], [], [], [], 0, 0
+        for part in row_slices(batches, "text", 2 << 20):
+            values, null = int_column(part, "doc_id")
+            part, values = part.filter(pa.array(~null)), values[~null]
+            owner, key = gram_sets(part.column("text"), size)
+            ids.append(values)
+            ns.append(np.bincount(owner, minlength=len(values)))
+            keys.append(key)
+            refs.append((owner + docs).astype(np.uint32))
+            docs, grams = docs + len(values), grams + len(key)
+            if grams >= BLOCK_GRAMS or docs >= BLOCK_DOCS:
+                yield block()
+                ids, ns, keys, refs, docs, grams = [], [], [], [], 0, 0
         if docs:
             yield block()
 
@@ -289,7 +287,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRE
     copies = member.where("doc_id <> least").select(F.col("least").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.col("n").alias("overlap"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
     reps = cut(first.join(classes, "digest").where("doc_id = least").select("doc_id", "n", "grams").dropDuplicates(["doc_id", "n"]), "class-sets")
     sets = cut(repeated_keys(reps, _from_sets, _survivors(t), _SETS).drop("digest"), "candidate-sets")
-    prefix = sets.mapInArrow(_prefixes(t), "gram long, doc_id long")
+    prefix = sets.mapInArrow(lean(_prefixes(t)), "gram long, doc_id long")
     star = prefix.select(F.col("doc_id").alias("u"), F.min("doc_id").over(Window.partitionBy("gram")).alias("v"))
     label = components(star)
     run = Window.partitionBy("label").orderBy("n", "doc_id")
@@ -306,7 +304,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N_GRAM, threshold: float = THRE
     sides = meetings.select("label", "bi", "bj", F.col("bi").alias("block")).unionAll(meetings.where("bi < bj").select("label", "bi", "bj", F.col("bj").alias("block")))
     placed = placed.join(sides, ["label", "block"])
     together = placed.join(sets, ["doc_id", "n"]).repartition(partitions(docs.sparkSession), "label", "bi", "bj").sortWithinPartitions("label", "bi", "bj")
-    pairs = together.mapInArrow(_meet(t), PAIRS).unionByName(copies).where("doc_id_a <> doc_id_b").distinct()
+    pairs = together.mapInArrow(lean(_meet(t)), PAIRS).unionByName(copies).where("doc_id_a <> doc_id_b").distinct()
     return pairs.withColumn("jaccard", F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 

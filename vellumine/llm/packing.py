@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import batches_by_key, cut, partitions, row_slices, table
+from vellumine.llm.common import batches_by_key, cut, lean, partitions, row_slices, table
 from vellumine.llm.tokens import VOCABULARY, Counter
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 16, 3072
@@ -107,7 +107,7 @@ def pack_examples(cut_examples: DataFrame, max_tokens: int = MAX_TOKENS, max_seg
     shards = max(1, -(-held.count() // shard))
     dealt = held.withColumn("shard", F.pmod(F.xxhash64("example", "piece"), F.lit(shards)))
     dealt = dealt.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_pack_shards((max_tokens, max_segments, max_loss)), PACKED)
+    return dealt.mapInArrow(lean(_pack_shards((max_tokens, max_segments, max_loss))), PACKED)
 
 
 def _check(max_tokens: int, max_segments: int, max_loss: int) -> None:
@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES)
 
     src = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return pack_examples(src.mapInArrow(run, PIECES), max_tokens, max_segments, max_loss).withColumnRenamed("example", "doc_id")
+    return pack_examples(src.mapInArrow(lean(run), PIECES), max_tokens, max_segments, max_loss).withColumnRenamed("example", "doc_id")
 
 
 def pack_conversations(turns: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, path: str = VOCABULARY) -> DataFrame:
@@ -170,11 +170,11 @@ def pack_conversations(turns: DataFrame, max_tokens: int = MAX_TOKENS, max_segme
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES)
 
     src = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id IS NOT NULL")
-    counted = src.mapInArrow(count, "conv_id long, turn long, role string, text string, head long, body long")
+    counted = src.mapInArrow(lean(count), "conv_id long, turn long, role string, text string, head long, body long")
     # of the text only a hash goes on: it breaks ties of turns
     slim = counted.select("conv_id", F.struct("turn", "role", F.xxhash64("text").alias("tie"), "head", "body").alias("t"))
     grouped = slim.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return pack_examples(grouped.mapInArrow(build, PIECES), max_tokens, max_segments, max_loss).withColumnRenamed("example", "conv_id")
+    return pack_examples(grouped.mapInArrow(lean(build), PIECES), max_tokens, max_segments, max_loss).withColumnRenamed("example", "conv_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

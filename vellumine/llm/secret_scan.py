@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import row_slices, table
+from vellumine.llm.common import lean, row_slices, table
 from vellumine.llm.tokens import VOCABULARY, encoding
 
 MIN_CHARS = 16
@@ -110,7 +110,7 @@ def secrets(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATI
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), SCHEMA)
 
 
 def redact(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATIO, mask: str = MASK) -> DataFrame:
@@ -137,7 +137,7 @@ def redact(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATIO
                 text = pa.array(values, text.type)
             yield pa.RecordBatch.from_arrays([text if n == "text" else c for n, c in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

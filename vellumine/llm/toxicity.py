@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import cut, row_slices, table
+from vellumine.llm.common import cut, lean, row_slices, table
 
 U = np.uint64
 #: Labelled rows that the classifier is fitted on, at most.
@@ -164,12 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     some = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int")).where("label_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     some = some.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(rows)
     known = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    held = cut(known.mapInArrow(_labelled, "toxic int, keys binary"), "labelled-features")
+    held = cut(known.mapInArrow(lean(_labelled), "toxic int, keys binary"), "labelled-features")
     total, ones = held.agg(F.count("*"), F.sum("toxic")).first()
     if not total or ones in (0, total):
         return descend(np.full(total, float(bool(ones))), np.empty(0, int), np.empty(0, int), np.empty(0, U))
     vocab = _select_spark(held, total, ones, np.concatenate(identity_hashes()))
-    got = held.mapInArrow(_columns(vocab), "toxic int, columns binary").toArrow()
+    got = held.mapInArrow(lean(_columns(vocab)), "toxic int, columns binary").toArrow()
     # the order of arrival differs between runs; sums in another order would differ in their last bits
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
     cols = [np.frombuffer(c, np.int32) for _, c in rows]
@@ -188,7 +188,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _select_spark(held: DataFrame, total: int, ones: int, always: np.ndarray, limit: int = FEATURES) -> np.ndarray:
     """What ``_select`` gives, with the counting and the test done by the executors."""
-    counts = held.mapInArrow(_tally, "key long, n long, pos long").groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
+    counts = held.mapInArrow(lean(_tally), "key long, n long, pos long").groupBy("key").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
 
     def part(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
             s = np.round(scores(shared.value, batch.column("text")), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(s >= threshold)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, toxicity double, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -235,7 +235,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in row_slices(batches, "text"):
             yield batch.filter(pa.array(np.round(scores(shared.value, batch.column("text")), 6) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
