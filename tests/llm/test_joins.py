@@ -54,12 +54,12 @@ def same_groups(pairs):
     return {frozenset(g) for g in groups.values()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_join_brute_force(make, seed):
+@pytest.mark.parametrize("seed, threshold", [(1, 0.7), (2, 0.5), (3, 0.9)])
+def test_join_brute_force(make, seed, threshold):
     rows = corpus(seed)
-    got = {(r.doc_id_a, r.doc_id_b): (r.overlap, r.n_a, r.n_b) for r in ngram_join.ngram_jaccard_join(make(rows)).collect()}
+    got = {(r.doc_id_a, r.doc_id_b): (r.overlap, r.n_a, r.n_b) for r in ngram_join.ngram_jaccard_join(make(rows), threshold=threshold).collect()}
     sets = {i: grams(t, 3) for i, t in rows}
-    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
     assert got and all(want[p] == o for p, (o, _, _) in got.items())
     assert same_groups(got) == same_groups(want)
     least = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
@@ -134,6 +134,8 @@ def test_decontamination_brute_force(make, spark, chunk):
     got = {tuple(r)[:5] for r in decontaminate.contaminated_spans(make([(i, " ".join(w)) for i, w in docs]), bench, chunk_bytes=chunk).collect()}
     want = {(i, j, *s) for i, d in docs for j, it in items for s in spans_brute(d, it, decontaminate.MIN_SPAN)}
     assert got == want and got
+    kept = decontaminate.without_contaminated(make([(i, " ".join(w)) for i, w in docs]), bench, chunk_bytes=chunk)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in docs} - {h[0] for h in want}) and len(kept.columns) == 5
 
 
 def test_decontamination_awkward(make, awkward, spark):

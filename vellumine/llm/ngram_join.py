@@ -36,7 +36,8 @@ from vellumine.llm.components import components
 from vellumine.llm.exchange import KEY_BITS, MAX_COUNT, Block, repeated_keys
 
 U = np.uint64
-N_GRAM, THRESHOLD = 3, 0.7
+#: Copies of one text that were each changed in one word of ten still share half of their 3-grams.
+N_GRAM, THRESHOLD = 3, 0.5
 BLOCK_GRAMS = 1 << 21
 BLOCK_DOCS = 65_000
 #: N-grams that meet in one worker; beyond it a component is cut in blocks.
