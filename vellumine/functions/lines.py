@@ -10,11 +10,13 @@ WS = r"\t-\r \u0085   -     　"
 _NUMBER = rf"^([0-9]+(?:\.[0-9]+)*)\.?[{WS}]+"
 _BULLET = rf"^[-*•◦▪‣⁃][{WS}]+"
 _ORDERED = rf"^([0-9]+)[.)][{WS}]+"
+_SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SECTIONS = {"Abstract": 3, "Introduction": 1, **{s: 2 for s in ("References", "Bibliography", "Conclusion", "Conclusions", "Acknowledgements", "Acknowledgments", "Related Work", "Related Works")}}
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{WS}]+|[{WS}]+\z", "")
+    """Looks at the ends only, whatever the length."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def word_count(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions import lines as L
@@ -43,9 +43,13 @@ def text_page(text: Column) -> Column:
     return M.join_blocks(F.transform(text_blocks(text), lambda b: format_block(b)))
 
 
-def finish(pages: Column, page_breaks: bool = False, image_dir: str | None = None) -> Column:
-    """Pages to a document: joined, images linked, title promoted, a line end at the end."""
-    out = M.join_pages(pages, page_breaks)
+def finish(df: DataFrame, pages: Column, name: str = "markdown", page_breaks: bool = False, image_dir: str | None = None) -> DataFrame:
+    """``df`` with the document that the pages make: joined, images linked, title promoted, a line end at the end.
+
+    Each step is a column of its own, so that what it takes from the one before
+    several times is worked out once.
+    """
+    out = df.withColumn("__m", M.join_pages(pages, page_breaks))
     if image_dir is not None:
-        out = M.link_images(out, image_dir)
-    return M.end_line(M.promote_title(out))
+        out = out.withColumn("__m", M.link_images(F.col("__m"), image_dir))
+    return out.withColumn("__m", M.promote_title(F.col("__m"))).withColumn(name, M.end_line(F.col("__m"))).drop("__m")

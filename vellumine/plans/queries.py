@@ -98,7 +98,7 @@ def _sql_title(md: str) -> str:
 
 
 def text_to_markdown(spark, sf):
-    return _decorated(spark, sf).select("doc_id", text.finish(F.array(text.text_page(F.col("text")))).alias("markdown"))
+    return text.finish(_decorated(spark, sf), F.array(text.text_page(F.col("text")))).select("doc_id", "markdown")
 
 
 SQL_TEXT_TO_MARKDOWN = f"""WITH {SQL_DECORATED}, {_sql_lines("decorated")}, {_sql_pages()}
@@ -606,7 +606,7 @@ def pdf_spans_formatted(spark, sf):
     spans = decode.spans(decode.decode_documents(files))
     pages = layout.format_spans(spans)
     done = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "markdown"))).alias("p"))
-    return done.select("doc_id", text.finish(F.col("p.markdown")).alias("markdown"))
+    return text.finish(done, F.col("p.markdown")).select("doc_id", "markdown")
 
 
 SQL_SPANS = f"SELECT * FROM ({SQL_PDF}) WHERE markdown <> chr(10)"
