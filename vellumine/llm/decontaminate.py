@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import BROADCAST_LIMIT, int_column, row_slices, table
+from vellumine.llm.common import BROADCAST_LIMIT, int_column, lean, row_slices, table
 
 U = np.uint64
 K, WINDOW = 8, 6
@@ -80,27 +80,42 @@ def _extend(docs: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, items: np.
     return lo, hi
 
 
+def _hits(it: Items, text: pa.Array, k: int, window: int) -> np.ndarray:
+    """Rows (document number, item number, document start, item start, words) of every shared span that is long enough."""
+    w = W.hash_words(text, _CLASS)
+    at, prints = winnow(w.hashes, w.bounds, k, window)
+    a, b = np.searchsorted(it.prints, prints), np.searchsorted(it.prints, prints, "right")
+    hit = np.flatnonzero(b > a)
+    if not len(hit):
+        return np.empty((5, 0), np.int64)
+    n = (b - a)[hit]
+    d = np.repeat(at[hit], n)
+    i = it.at[np.repeat(a[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    doc, item = np.searchsorted(w.bounds, d, "right") - 1, np.searchsorted(it.bounds, i, "right") - 1
+    lo, hi = _extend(w.hashes, w.bounds[doc], w.bounds[doc + 1], it.hashes, it.bounds[item], it.bounds[item + 1], d, i)
+    ok = hi - lo >= k + window - 1
+    return np.unique(np.stack([doc, item, lo - w.bounds[doc], lo + i - d - it.bounds[item], hi - lo])[:, ok], axis=1)
+
+
 def _search(shared, k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = shared.value
         for batch in row_slices(batches, "text"):
             ids, null = int_column(batch, "doc_id")
-            w = W.hash_words(batch.column("text"), _CLASS)
-            at, prints = winnow(w.hashes, w.bounds, k, window)
-            a, b = np.searchsorted(it.prints, prints), np.searchsorted(it.prints, prints, "right")
-            hit = np.flatnonzero(b > a)
-            if not len(hit):
-                continue
-            n = (b - a)[hit]
-            d = np.repeat(at[hit], n)
-            i = it.at[np.repeat(a[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            doc, item = np.searchsorted(w.bounds, d, "right") - 1, np.searchsorted(it.bounds, i, "right") - 1
-            lo, hi = _extend(w.hashes, w.bounds[doc], w.bounds[doc + 1], it.hashes, it.bounds[item], it.bounds[item + 1], d, i)
-            ok = (hi - lo >= k + window - 1) & ~null[doc]
-            found = np.stack([ids[doc], it.ids[item], lo - w.bounds[doc], lo + i - d - it.bounds[item], hi - lo, np.diff(it.bounds)[item]])[:, ok]
-            found = np.unique(found, axis=1)
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_ARROW)
+            doc, item, start, item_start, words = _hits(it, batch.column("text"), k, window)
+            ok = ~null[doc]
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (ids[doc], it.ids[item], start, item_start, words, np.diff(it.bounds)[item])], schema=_ARROW)
+
+    return run
+
+
+def _filter(shared, k: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, "text"):
+            keep = np.ones(batch.num_rows, bool)
+            keep[_hits(shared.value, batch.column("text"), k, window)[0]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -114,6 +129,12 @@ def _chunks(benchmark: DataFrame, size: int) -> Iterator[pa.Table]:
         yield part.toArrow()
 
 
+def _sent(spark: SparkSession, benchmark: DataFrame, k: int, window: int, chunk_bytes: int) -> Iterator:
+    bench = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    for part in _chunks(bench, chunk_bytes):
+        yield spark.sparkContext.broadcast(_items(part, k, window))
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Every maximal span of at least ``k + window - 1`` words that a document shares with a benchmark item.
 
@@ -128,17 +149,21 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
     document gives as many rows. Other columns are ignored; an empty table on
     either side gives no rows.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long"), "text")
-    bench = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     out = None
-    for part in _chunks(bench, chunk_bytes):
-        shared = spark.sparkContext.broadcast(_items(part, k, window))
-        found = src.mapInArrow(_search(shared, k, window), SCHEMA)
+    for shared in _sent(docs.sparkSession, benchmark, k, window, chunk_bytes):
+        found = src.mapInArrow(lean(_search(shared, k, window)), SCHEMA)
         out = found if out is None else out.unionAll(found)
     return out.distinct().withColumn("coverage", F.col("n_words") / F.col("item_words"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that share no span of ``k + window - 1`` words with a benchmark item, all columns; nothing is shuffled."""
+    for shared in _sent(docs.sparkSession, benchmark, k, window, chunk_bytes):
+        docs = docs.mapInArrow(lean(_filter(shared, k, window)), docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
