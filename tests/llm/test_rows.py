@@ -1,5 +1,6 @@
 """Operators that work row by row, packing, and the pipeline, against brute force."""
 
+import os
 import random
 import re
 from html.parser import HTMLParser
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import words
+from tests.test_queries import SF
 from vellumine.llm import chat_format, decontaminate, html_extract, license_scan, ngram_join, packing, secret_scan, suffix_dedup, toxicity
 from vellumine.llm import words as W
 from vellumine.llm.tokens import PIECES, VOCABULARY, Counter, encoding
@@ -155,6 +157,22 @@ def test_license_rows(make, awkward):
     assert license_scan.license_notices(make([])).count() == 0
 
 
+def test_license_creative_commons():
+    search = license_scan.build()
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        text = f"x\nLicensed under CC {kind} 4.0.\ny"
+        assert license_scan.scan(text, search) == [(f"CC-{kind}-4.0", 2, len(text) - 3, 0)]
+    text = "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    assert license_scan.scan(text, search) == [("CC-BY-NC-4.0", 0, len(text), 0)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_license_of_every_document_that_names_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id for r in docs.where("text ILIKE '%licen%'").collect()}
+    assert want and {r.doc_id for r in license_scan.license_notices(docs).collect()} == want
+
+
 # ---------------------------------------------------------------- HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>T, a title that is long enough</title><script>var t="</p><p>no, no, no, no, no, no</p>";</script></head><body>

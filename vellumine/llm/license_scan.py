@@ -42,6 +42,16 @@ NOTICES = (
     ("BSL-1.0", "distributed under the boost software license, version 1.0"),
     ("CC-BY-4.0", "licensed under a creative commons attribution 4.0 international license"),
     ("CC-BY-SA-4.0", "licensed under a creative commons attribution-sharealike 4.0 international license"),
+    ("CC-BY-NC-4.0", "licensed under a creative commons attribution-noncommercial 4.0 international license"),
+    ("CC-BY-ND-4.0", "licensed under a creative commons attribution-noderivatives 4.0 international license"),
+    ("CC-BY-NC-SA-4.0", "licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license"),
+    ("CC-BY-NC-ND-4.0", "licensed under a creative commons attribution-noncommercial-noderivatives 4.0 international license"),
+    ("CC-BY-4.0", "licensed under cc by 4.0"),
+    ("CC-BY-SA-4.0", "licensed under cc by-sa 4.0"),
+    ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0"),
+    ("CC-BY-ND-4.0", "licensed under cc by-nd 4.0"),
+    ("CC-BY-NC-SA-4.0", "licensed under cc by-nc-sa 4.0"),
+    ("CC-BY-NC-ND-4.0", "licensed under cc by-nc-nd 4.0"),
     ("CC0-1.0", "dedicated to the public domain under cc0 1.0 universal"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
 )
