@@ -437,6 +437,17 @@ def test_counterfactual_penalty_moves_neutral_mentions():
     assert toxicity.scores(fair, texts)[0] < toxicity.scores(plain, texts)[0]
 
 
+@pytest.mark.parametrize("term, other", [("immigrants", "natives"), ("christians", "jews"), ("musulmans", "juifs")])
+def test_counterfactual_penalty_covers_stems(term, other):
+    """Evidence that a long term bears doesn't move to its stem."""
+    rows = keyed([(i, t.replace("muslims", term), y) for i, t, y in labelled(random.Random(18), 2000, biased=True)])
+    plain, fair = toxicity.fit(rows, counterfactual=0.0), toxicity.fit(rows)
+    texts = pa.array([f"the {term} met at noon", f"the {other} met at noon"])
+    gap = [float(np.ptp(np.log(p / (1 - p)))) for p in (toxicity.scores(m, texts) for m in (plain, fair))]
+    assert gap[0] > 0.5 and gap[1] < gap[0] / 10
+    assert toxicity.scores(fair, texts)[0] < toxicity.scores(plain, texts)[0] / 3
+
+
 def test_scores_brute_force():
     rows = labelled(random.Random(19), 300)
     model = toxicity.fit(keyed(rows))

@@ -59,6 +59,15 @@ def identity_hashes(groups=IDENTITY) -> list[np.ndarray]:
     return [W.hash_words(pa.array(list(g)), _CLASS).hashes for g in groups]
 
 
+def identity_keys(groups=IDENTITY) -> list[list[np.ndarray]]:
+    """Every key that naming a group adds to a document: the word's, and its stem's if it has one."""
+    out = []
+    for g in groups:
+        owner, keys = features(W.hash_words(pa.array(list(g)), _CLASS))
+        out.append([keys[owner == i] for i in range(len(g))])
+    return out
+
+
 def features(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """(document number, key) of each distinct word and of each distinct stem of a longer word."""
     doc = W.word_document(w.bounds)
@@ -115,37 +124,38 @@ def descend(toxic: np.ndarray, doc: np.ndarray, col: np.ndarray, vocab: np.ndarr
     """Weights of ``vocab`` from the (document, column) pairs that are set; without both labels the model rejects nothing."""
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return Model(np.empty(0, U), np.empty(0), -10.0)
-    # a swap moves a document's score by the difference of two weights; every ordered pair inside a set counts by its documents
-    a, b, times = [], [], []
-    for s in identity_hashes(groups):
-        here = [(int(np.searchsorted(vocab, h)) if h in vocab else -1) for h in s]
-        for x in here:
-            n = int((col == x).sum()) if x >= 0 else 0
-            for y in here:
+    # a swap moves a document's score by the weights of all keys of one term less those of the other; every ordered pair inside a set counts by its documents
+    pair, key, sign, times = [], [], [], []
+    for s, own in zip(identity_hashes(groups), identity_keys(groups)):
+        for x in range(len(s)):
+            n = int((col == np.searchsorted(vocab, s[x])).sum()) if s[x] in vocab else 0
+            for y in range(len(s)):
                 if n and y != x:
-                    a.append(x), b.append(y), times.append(n / (len(s) - 1))
-    a, b, times = np.array(a, int), np.array(b, int), np.array(times)
+                    for k, side in ((own[x], 1.0), (own[y], -1.0)):
+                        at = np.flatnonzero(np.isin(vocab, k))
+                        pair += [len(times)] * len(at)
+                        key += at.tolist()
+                        sign += [side] * len(at)
+                    times.append(n / (len(s) - 1))
+    pair, key, sign, times = np.array(pair, int), np.array(key, int), np.array(sign), np.array(times)
     n, m = len(toxic), len(vocab)
     weight = np.where(toxic > 0, n / (2 * toxic.sum()), n / (2 * (n - toxic.sum())))
-    w, bias = np.zeros(m + 1), 0.0
-    m1, m2, b1, b2 = np.zeros(m + 1), np.zeros(m + 1), 0.0, 0.0
+    w, bias = np.zeros(m), 0.0
+    m1, m2, b1, b2 = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(doc, weights=w[col], minlength=n)
         e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / n
-        g = np.zeros(m + 1)
-        g[:m] = np.bincount(col, weights=e[doc], minlength=m) + L2 * w[:m]
-        if len(a):
-            d = 2 * counterfactual * times * (w[a] - np.where(b >= 0, w[b], 0.0)) / n
-            np.add.at(g, a, d)
-            np.add.at(g, np.where(b >= 0, b, m), -d)
-        g[m] = 0
+        g = np.bincount(col, weights=e[doc], minlength=m) + L2 * w
+        if len(times):
+            change = np.bincount(pair, weights=sign * w[key], minlength=len(times))
+            np.add.at(g, key, sign * (2 * counterfactual * times * change / n)[pair])
         gb = float(e.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
         f = 0.1 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= f * m1 / (np.sqrt(m2) + 1e-9)
         bias -= f * b1 / (np.sqrt(b2) + 1e-9)
-    return Model(vocab, w[:m], bias)
+    return Model(vocab, w, bias)
 
 
 def scores(model: Model, text: pa.Array) -> np.ndarray:
