@@ -31,10 +31,14 @@ MASK = "[SECRET]"
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_CHARS)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"(?:0x)?([0-9a-fA-F]+)")
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]+)={0,2}")
+_DATA_URI = re.compile(r"data:[\w.+-]+/[\w.+-]+(?:;[\w.+=-]+)*;base64,$", re.I)
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
+#: After a digest's label: also 64-bit sums and object ids; base64 of 16, 20, 28, 32, 48 and 64 bytes.
+_LABELLED_HEX, _LABELLED_BASE64 = _DIGEST_CHARS | {16, 24}, {22, 27, 38, 43, 64, 86}
 _INTEGRITY = re.compile(r"sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}")
 _LABEL = re.compile(
-    r"(?P<secret>token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?key|auth|bearer|credential)"
+    r"(?P<secret>token(?!iz|is)|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?key|auth(?!or(?!iz|is))|bearer|credential)"
     r"|(?P<digest>md5|sha-?\d+|sha\b|blake\d|crc\d*|digest|checksum|hash|commit|revision|\brev\b|etag|integrity|fingerprint|uuid|guid|\bid\b|base64,)",
     re.I,
 )
@@ -48,20 +52,20 @@ class Finding(NamedTuple):
 
 
 def _label(before: str) -> str | None:
-    """``secret`` or ``digest`` by the nearest such word before a string."""
-    last = None
-    for last in _LABEL.finditer(before):
-        pass
-    return last.lastgroup if last else None
+    """``secret`` if such a word stands before a string, else ``digest`` if one of those does."""
+    found = {m.lastgroup for m in _LABEL.finditer(before)}
+    return "secret" if "secret" in found else "digest" if found else None
 
 
 def _known(run: str, label: str | None) -> bool:
-    """Whether a string is a digest or an identifier by its form and what stands before it."""
+    """Whether a string is a digest or an identifier by its form, of which more count after a digest's label."""
     if label == "secret":
         return False
-    if label == "digest" or _UUID.fullmatch(run) or _INTEGRITY.fullmatch(run):
+    if _UUID.fullmatch(run) or _INTEGRITY.fullmatch(run):
         return True
-    return bool((m := _HEX.fullmatch(run)) and len(m[1]) in _DIGEST_CHARS)
+    if m := _HEX.fullmatch(run):
+        return len(m[1]) in (_LABELLED_HEX if label == "digest" else _DIGEST_CHARS)
+    return label == "digest" and bool(m := _BASE64.fullmatch(run)) and len(m[1]) in _LABELLED_BASE64 and any(c.isdigit() for c in run)
 
 
 def scan(text: str, encode, max_ratio: float = MAX_RATIO) -> list[Finding]:
@@ -74,7 +78,8 @@ def scan(text: str, encode, max_ratio: float = MAX_RATIO) -> list[Finding]:
         if len(run) >= max_ratio * n:
             continue
         label = _label(text[max(0, m.start() - CONTEXT) : m.start()])
-        if not _known(run, label):
+        uri = label != "secret" and _DATA_URI.search(text[max(0, m.start() - 4 * CONTEXT) : m.start()])
+        if not uri and not _known(run, label):
             out.append(Finding(m.start(), m.end(), n, label))
     return out
 
@@ -95,7 +100,7 @@ def secrets(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATI
 
     ``labelled`` tells whether a word like token or password stands shortly
     before. Digests of usual lengths and UUIDs count as known unless such a word
-    does; so does what a word like sha256 or commit introduces. Null and empty
+    does; after a word like sha256 or commit, more lengths and base64 do. Null and empty
     texts have no findings, a null doc_id stays null, repeated rows give their
     findings again. Other columns are ignored; an empty table gives no rows.
     """
