@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import string
 from html.parser import HTMLParser
 
 import numpy as np
@@ -96,6 +97,30 @@ def test_secret_labels(text, found):
     assert [text[f.start : f.end] for f in secret_scan.scan(text, encoding().encode_ordinary)] == found
 
 
+@pytest.mark.parametrize(
+    "before, chars, size, after",
+    [
+        ('token = "', "0123456789abcdef", 40, '"'),
+        ('token = "', "0123456789abcdef", 20, '"'),
+        ("see /accounts/settings/integrations/", string.ascii_letters + string.digits, 24, "/edit now"),
+        ("password: ", string.ascii_letters, 24, ""),
+        ("x ", string.ascii_letters, 40, " y"),
+    ],
+)
+def test_secret_random_strings(before, chars, size, after):
+    rng, missed = random.Random(23), 0
+    for _ in range(500):
+        key = "".join(rng.choice(chars) for _ in range(size))
+        text = before + key + after
+        missed += not any(key in text[f.start : f.end] for f in secret_scan.scan(text, encoding().encode_ordinary))
+    assert missed <= 5
+
+
+@pytest.mark.parametrize("text", ["docs/Donaudampfschifffahrtsgesellschaft/Geschwindigkeitsbegrenzung", "AbstractSingletonProxyFactoryBean", "password: internationalization2021", "/users/550e8400-e29b-41d4-a716-446655440000/documents/settings", "INTERNATIONALIZATION_OF_THE_PROCESS", "Ououeuxaiauxeuxré"])
+def test_secret_words_are_no_finding(text):
+    assert not secret_scan.scan(text, encoding().encode_ordinary)
+
+
 def test_secret_brute_force(make):
     rng = random.Random(8)
     chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"

@@ -1,9 +1,11 @@
 """Secrets by token efficiency.
 
 A vocabulary of subwords writes words in few tokens and random strings in many.
-A run of key characters with both letters and digits that needs a token for
-every two characters, or less, is reported, unless it is a known kind of digest
-or identifier.
+A run of key characters that needs a token for every two characters, or less,
+is reported, unless it is a known kind of digest or identifier. Where a run as a
+whole needs fewer, as a path around a key does, its random parts are. Without a
+digit, a string needs a secret's label before it, or capitals beyond the
+first letter, small letters and less than ``LETTERS_RATIO``.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from vellumine.llm.tokens import VOCABULARY, encoding
 MIN_CHARS = 16
 #: Characters a token; what has fewer counts as random.
 MAX_RATIO = 2.0
+#: The same for hex digits, of which a token holds more, and after a secret's label; and for letters only without a label.
+WIDE_RATIO, LETTERS_RATIO = 2.5, 1.7
 #: Distinct characters that a random string has at least.
 MIN_DISTINCT = 8
 CONTEXT = 32
+#: Parts of a run with fewer characters than this say nothing by themselves.
+MIN_PART = 4
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_CHARS)
@@ -33,6 +39,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _HEX = re.compile(r"(?:0x)?([0-9a-fA-F]+)")
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]+)={0,2}")
 _DATA_URI = re.compile(r"data:[\w.+-]+/[\w.+-]+(?:;[\w.+=-]+)*;base64,$", re.I)
+_PART = re.compile(r"[^/_-]+")
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 #: After a digest's label: also 64-bit sums and object ids; base64 of 16, 20, 28, 32, 48 and 64 bytes.
 _LABELLED_HEX, _LABELLED_BASE64 = _DIGEST_CHARS | {16, 24}, {22, 27, 38, 43, 64, 86}
@@ -68,19 +75,51 @@ def _known(run: str, label: str | None) -> bool:
     return label == "digest" and bool(m := _BASE64.fullmatch(run)) and len(m[1]) in _LABELLED_BASE64 and any(c.isdigit() for c in run)
 
 
+def _bound(s: str, label: str | None, max_ratio: float) -> float:
+    return max(max_ratio, WIDE_RATIO) if label == "secret" or _HEX.fullmatch(s) else max_ratio
+
+
+def _random(s: str, label: str | None, encode, max_ratio: float) -> int:
+    """The tokens of a string that looks random, else 0."""
+    if len(s) < MIN_CHARS or len(set(s)) < MIN_DISTINCT or not any(c.isalpha() for c in s):
+        return 0
+    n = len(encode(s))
+    if label != "secret" and not any("0" <= c <= "9" for c in s):
+        return n if s.upper() != s and s[1:] != s[1:].lower() and len(s) < min(max_ratio, LETTERS_RATIO) * n else 0
+    return n if len(s) < _bound(s, label, max_ratio) * n else 0
+
+
+def _parts(run: str, label: str | None, encode, max_ratio: float) -> Iterator[tuple[int, int]]:
+    """(start, end) of each longest row of random parts between / - and _; short parts don't end a row."""
+    start = end = -1
+    for m in _PART.finditer(run):
+        if len(m[0]) < MIN_PART:
+            continue
+        if len(m[0]) < _bound(m[0], label, max_ratio) * len(encode(m[0])):
+            start, end = m.start() if start < 0 else start, m.end()
+        elif start >= 0:
+            yield start, end
+            start = -1
+    if start >= 0:
+        yield start, end
+
+
 def scan(text: str, encode, max_ratio: float = MAX_RATIO) -> list[Finding]:
     out = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if len(set(run)) < MIN_DISTINCT or not any("0" <= c <= "9" for c in run) or not any(c.isalpha() for c in run):
+        run, at = m[0], m.start()
+        label = _label(text[max(0, at - CONTEXT) : at])
+        if _known(run, label) or label != "secret" and _DATA_URI.search(text[max(0, at - 4 * CONTEXT) : at]):
+            continue
+        if n := _random(run, label, encode, max_ratio):
+            out.append(Finding(at, m.end(), n, label))
             continue
-        n = len(encode(run))
-        if len(run) >= max_ratio * n:
+        if len(set(run)) < MIN_DISTINCT:
             continue
-        label = _label(text[max(0, m.start() - CONTEXT) : m.start()])
-        uri = label != "secret" and _DATA_URI.search(text[max(0, m.start() - 4 * CONTEXT) : m.start()])
-        if not uri and not _known(run, label):
-            out.append(Finding(m.start(), m.end(), n, label))
+        for a, b in _parts(run, label, encode, max_ratio):
+            own = label if label == "secret" else _label(text[max(0, at + a - CONTEXT) : at + a])
+            if not _known(run[a:b], own) and (n := _random(run[a:b], own, encode, max_ratio)):
+                out.append(Finding(at + a, at + b, n, own))
     return out
 
 
@@ -90,8 +129,8 @@ _MAYBE = r"[A-Za-z0-9+/_-]{%d,}" % MIN_CHARS
 
 
 def _suspects(text: pa.Array) -> list[int]:
-    """Rows with a long run of key characters and a digit anywhere; the rest can have no finding."""
-    ok = pc.and_(pc.match_substring_regex(text, "[0-9]"), pc.match_substring_regex(text, _MAYBE))
+    """Rows with a long run of key characters; the rest can have no finding."""
+    ok = pc.match_substring_regex(text, _MAYBE)
     return pc.indices_nonzero(pc.fill_null(ok, False)).to_pylist()
 
 
