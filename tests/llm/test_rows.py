@@ -418,6 +418,12 @@ def test_pack_documents(make, awkward):
         packing.pack_documents(docs, 0)
 
 
+def test_pack_documents_keeps_all_three_limits(make):
+    got = packing.pack_documents(make([(i, "a b " * n) for i, n in enumerate((100, 1000, 2000, 5000))])).collect()
+    assert max(r.loss_tokens for r in got) == packing.MAX_LOSS
+    check_bins(got, (packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_LOSS))
+
+
 def test_pack_conversations(spark):
     rng = random.Random(16)
     schema = "conv_id long, turn long, role string, text string"

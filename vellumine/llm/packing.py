@@ -115,7 +115,7 @@ def _check(max_tokens: int, max_segments: int, max_loss: int) -> None:
         raise ValueError("limits must be positive")
 
 
-def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, path: str = VOCABULARY) -> DataFrame:
+def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, path: str = VOCABULARY) -> DataFrame:
     """Bins for documents, every token of which bears loss.
 
     Columns doc_id, piece, token_start, n_tokens, loss_tokens, bin, slot,
