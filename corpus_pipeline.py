@@ -11,35 +11,57 @@ from pyspark.sql import functions as F
 
 from vellumine.llm import decontaminate, ngram_join, packing, secret_scan, toxicity
 from vellumine.llm.common import cut, table
-from vellumine.llm.components import components
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, all columns. It is fitted on labelled rows of the documents that come in."""
+    """Documents that the classifier doesn't reject, all columns. It is fitted on labelled rows of the documents that come in.
+
+    A null, empty or blank text is no evidence and stays, a null doc_id too;
+    repeated rows all stay or go. Without labels of both kinds nothing goes. An
+    empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram join connects, that with the least doc_id; the rest go. Of rows with one doc_id all stay or go."""
-    pairs = ngram_join.ngram_jaccard_join(docs)
-    label = components(pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")))
-    gone = label.where("node <> label").select(F.col("node").alias("doc_id"))
+    """One document of each group that the n-gram join connects, that with the least doc_id; the rest go.
+
+    Null, empty and blank texts and rows with a null doc_id have no partner and
+    stay. Of rows with one doc_id all stay or go: they go if each of their texts
+    has a partner with a lesser doc_id. An empty table stays empty.
+    """
+    classes = ngram_join.duplicate_classes(docs)
+    gone = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays")).where("NOT stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no long span with a benchmark item."""
+    """Documents that share no long span with a benchmark item.
+
+    Null, empty and short texts share nothing and stay, a null doc_id too; of
+    repeated rows all stay or go. Without items nothing goes. An empty table
+    stays empty.
+    """
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the random strings that look like secrets masked."""
+    """All documents, with the random strings that look like secrets masked.
+
+    Null and empty texts stay as they are, repeated rows are masked alike,
+    n_chars follows the text. An empty table stays empty.
+    """
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of pieces of documents: doc_id, piece, token_start, n_tokens, loss_tokens, bin, slot, bin_start."""
+    """Bins of pieces of documents: doc_id, piece, token_start, n_tokens, loss_tokens, bin, slot, bin_start.
+
+    Null and empty texts have no tokens and no rows, rows with a null doc_id are
+    left out, repeated rows are packed again, equal needs in an order of their
+    own. An empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 

@@ -75,8 +75,39 @@ def test_join_splits_large_components(make, monkeypatch):
         w[rng.randrange(60)] = f"c{i}"
         rows.append((i, " ".join(w)))
     whole = {tuple(r) for r in ngram_join.ngram_jaccard_join(make(rows)).collect()}
-    monkeypatch.setattr(ngram_join, "MEET_GRAMS", 300)
+    classes = {tuple(r) for r in ngram_join.duplicate_classes(make(rows)).collect()}
+    monkeypatch.setattr(ngram_join, "MEET_UNITS", 7)
+    monkeypatch.setattr(ngram_join, "INDEX_GRAMS", 500)
+    monkeypatch.setattr(ngram_join, "HEAP_ENTRIES", 50)
     assert {tuple(r) for r in ngram_join.ngram_jaccard_join(make(rows)).collect()} == whole and len(whole) > 500
+    assert {tuple(r) for r in ngram_join.duplicate_classes(make(rows)).collect()} == classes
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_classes_brute_force(make, seed):
+    """Class and links of each document, with an id that has two texts and rows that repeat."""
+    rows = corpus(seed, 90)
+    rows += [rows[3], (rows[4][0], rows[7][1]), (rows[5][0], rows[5][1] + " x"), (200, None), (201, " ")]
+    got = sorted(tuple(r) for r in ngram_join.duplicate_classes(make(rows)).collect())
+    docs = list(dict.fromkeys((i, frozenset(grams(t, 3))) for i, t in rows))
+    near = {d: [e for e in docs if e != d and d[1] and len(d[1] & e[1]) * 2 >= len(d[1] | e[1])] for d in docs}
+    want = []
+    for d in docs:
+        seen, todo = {d}, [d]
+        while todo:
+            new = [e for e in near[todo.pop()] if e not in seen]
+            seen.update(new), todo.extend(new)
+        want.append((d[0], min(e[0] for e in seen), len(near[d])))
+    assert got == sorted(want) and any(n > 1 for _, _, n in got)
+
+
+def test_one_id_with_two_texts(make):
+    """Of rows with one id and sets of one size, each finds its partner."""
+    rng = random.Random(9)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "other"])), (3, " ".join([*b[:-1], "other"]))]
+    assert {(r.doc_id_a, r.doc_id_b) for r in ngram_join.ngram_jaccard_join(make(rows)).collect()} == {(1, 2), (1, 3)}
+    assert sorted(tuple(r) for r in ngram_join.duplicate_classes(make(rows)).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
 
 
 def test_merge_skip_counts():
@@ -93,6 +124,9 @@ def test_join_awkward(make, awkward, spark):
     got = {(r.doc_id_a, r.doc_id_b) for r in ngram_join.ngram_jaccard_join(docs).collect()}
     assert got == {(4, 5), (6, 7)}
     assert ngram_join.ngram_jaccard_join(make([])).count() == 0
+    classes = sorted(tuple(r) for r in ngram_join.duplicate_classes(docs.withColumn("class_id", F.lit(0))).collect())
+    assert classes == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 1), (7, 6, 1), (8, 8, 0)]
+    assert ngram_join.duplicate_classes(make([])).count() == 0
 
 
 def test_components(spark):

@@ -49,7 +49,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    spark._jvm.System.gc()  # Spark removes the shuffle files of a plan when the driver has collected it
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``cut`` wrote, once nothing reads it any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "cut_path", None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:
@@ -63,8 +74,13 @@ def pinned(df: DataFrame, label: str) -> DataFrame:
     return cut(df, label) if "Exchange" in plan or "ExistingRDD" in plan else df
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, df: DataFrame | None = None, size: int = 0) -> int:
+    """Partitions of a shuffle: what the session sets, or more where ``df`` has more than that many times ``size`` bytes by the plan's estimate."""
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return least
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-found // size)) if found < 1 << 60 else least  # a plan that can't tell says the largest number
 
 
 def text_bytes(col: pa.Array | pa.ChunkedArray, lower: bool) -> tuple[np.ndarray, np.ndarray]:

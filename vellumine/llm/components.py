@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import cut
+from vellumine.llm.common import cut, release
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def _least(sym: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (u, v: bigint); label is the least node that it reaches.
+    """(node, label) for every node of ``edges`` (u, v: of one type that has an order); label is the least node that it reaches.
 
     Null ends and loops are ignored, repeated edges count once, no edges give no
     rows. Each round is written to the shared folder, so plans stay short and a
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct(), "edges")
+        before, now = now, cut(small.where("u <> v").distinct(), "edges")
+        release(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

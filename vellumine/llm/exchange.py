@@ -26,8 +26,11 @@ U = np.uint64
 KEY_BITS = 56
 MAX_COUNT = 2**32 - 1
 
-#: A block: what its documents need later (pickled), the keys, and for each key the number of the thing it came from.
-Block = tuple[object, np.ndarray, np.ndarray]
+#: Bytes of input, as the plan estimates them, for each partition of keys: its arrays stay in memory.
+PART_BYTES = 16 << 20
+
+#: A block: what its documents need later (pickled), the keys, for each key the number of the thing it came from, and a value for each of these or nothing.
+Block = tuple[object, np.ndarray, np.ndarray, np.ndarray | None]
 
 _SCHEMA = "part int, block long, head boolean, blob binary"
 _ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("blob", pa.binary())])
@@ -68,9 +71,10 @@ def grouped(keys: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 24
-        for number, (extra, keys, refs) in enumerate(make(batches)):
+        for number, (extra, keys, refs, values) in enumerate(make(batches)):
             block = task + number
             key, start, count, ref = grouped(keys, refs)
+            least = np.minimum.reduceat(values[ref], start) if values is not None and len(key) else None
             several = count > 1
             single = ref[start].astype(U)
             single[several] = np.arange(int(several.sum()), dtype=U)
@@ -80,15 +84,15 @@ def _send(make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]], parts: in
             cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-2))
             rows = [(block % parts, block, True, head)]
             for lo, hi in zip(cuts, cuts[1:]):
-                rows.append((int(owner[lo]), block, False, pack_sorted(key[lo:hi]) + pack(single[lo:hi]) + pack(count[lo:hi])))
+                rows.append((int(owner[lo]), block, False, pack_sorted(key[lo:hi]) + pack(single[lo:hi]) + pack(count[lo:hi]) + (b"" if least is None else pack(least[lo:hi]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
     return run
 
 
-def _count(parts: int, with_keys: bool):
+def _count(parts: int, with_keys: bool, with_least: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, keys, refs, counts = [], [], [], []
+        blocks, keys, refs, counts, leasts = [], [], [], [], []
         for batch in batches:
             block, head = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             heads = batch.filter(batch.column(2))
@@ -98,7 +102,9 @@ def _count(parts: int, with_keys: bool):
                 if not h:
                     k, at = unpack_sorted(blob)
                     r, at = unpack(blob, at)
-                    c, _ = unpack(blob, at)
+                    c, at = unpack(blob, at)
+                    if with_least:
+                        leasts.append(unpack(blob, at)[0])
                     blocks.append(b)
                     keys.append(k)
                     refs.append(r.astype(np.uint32))
@@ -115,18 +121,23 @@ def _count(parts: int, with_keys: bool):
         mine = np.empty(len(k), U)
         mine[order] = np.repeat(total, np.diff(start, append=len(k)))
         keep = mine > U(1)
+        if with_least:
+            first = np.empty(len(k), U)
+            first[order] = np.repeat(np.minimum.reduceat(np.concatenate(leasts)[order], start), np.diff(start, append=len(k)))
+            leasts = None
         at = np.concatenate([[0], np.cumsum(sizes)])
         for i, b in enumerate(blocks):
             lo, hi = at[i], at[i + 1]
             m = keep[lo:hi]
             if m.any():
                 blob = (pack_sorted(every[lo:hi][m]) if with_keys else b"") + pack(refs[i][m]) + pack(local[lo:hi][m] > 1) + pack(np.minimum(mine[lo:hi][m], U(MAX_COUNT)))
+                blob += pack(first[lo:hi][m]) if with_least else b""
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((b % parts, b, False, blob), _ARROW.types)], schema=_ARROW)
 
     return run
 
 
-def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], with_keys: bool):
+def _return(finish: Callable[..., Iterator[pa.RecordBatch]], with_keys: bool, with_least: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[int, bytes] = {}
         found: dict[int, list[bytes]] = defaultdict(list)
@@ -140,16 +151,17 @@ def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Itera
             extra, sizes, lists = pickle.loads(heads.pop(b))
             sizes, lists = unpack(memoryview(sizes))[0].astype(np.int64), unpack(memoryview(lists))[0]
             ends = np.cumsum(sizes)
-            ks, rs, cs = [], [], []
+            ks, rs, cs, ls = [], [], [], []
             for blob in map(memoryview, found.pop(b, ())):
                 k, at = unpack_sorted(blob) if with_keys else (None, 0)
                 r, at = unpack(blob, at)
                 k = np.zeros(len(r), U) if k is None else k
                 several, at = unpack(blob, at)
-                c, _ = unpack(blob, at)
+                c, at = unpack(blob, at)
+                least = unpack(blob, at)[0] if with_least else c
                 several = several.astype(bool)
                 one = ~several
-                ks.append(k[one]), rs.append(r[one]), cs.append(c[one])
+                ks.append(k[one]), rs.append(r[one]), cs.append(c[one]), ls.append(least[one])
                 g = r[several].astype(np.int64)
                 if len(g):
                     size = sizes[g]
@@ -157,8 +169,9 @@ def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Itera
                     ks.append(np.repeat(k[several], size))
                     rs.append(lists[np.repeat(ends[g] - size, size) + within])
                     cs.append(np.repeat(c[several], size))
+                    ls.append(np.repeat(least[several], size))
             cat = lambda xs: np.concatenate(xs) if xs else np.empty(0, U)
-            yield from finish(extra, cat(ks), cat(rs).astype(np.int64), cat(cs))
+            yield from finish(extra, cat(ks), cat(rs).astype(np.int64), cat(cs), *([cat(ls)] if with_least else []))
 
     return run
 
@@ -166,19 +179,22 @@ def _return(finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Itera
 def repeated_keys(
     df: DataFrame,
     make: Callable[[Iterator[pa.RecordBatch]], Iterator[Block]],
-    finish: Callable[[object, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]],
+    finish: Callable[..., Iterator[pa.RecordBatch]],
     schema: str,
     bits: int = KEY_BITS,
     with_keys: bool = True,
+    with_least: bool = False,
 ) -> DataFrame:
     """``finish`` gets each block's own entries whose key occurs at least twice in all blocks.
 
     ``df`` must give the same rows in the same order on every retry (``pinned``).
     ``finish(extra, keys, refs, counts)``: counts are of the whole corpus, up to
     ``MAX_COUNT``. ``bits``: width of the keys that ``make`` gives. Without
-    ``with_keys`` they don't travel back, and ``keys`` are zeros.
+    ``with_keys`` they don't travel back, and ``keys`` are zeros. With
+    ``with_least`` blocks have values, and ``finish`` also gets, for each key, the
+    least value in all blocks.
     """
-    parts = partitions(df.sparkSession)
+    parts = partitions(df.sparkSession, df, PART_BYTES)
     sent = df.mapInArrow(lean(_send(make, parts, bits)), _SCHEMA)
-    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(lean(_count(parts, with_keys)), _SCHEMA)
-    return counted.repartitionById(parts, F.col("part")).mapInArrow(lean(_return(finish, with_keys)), schema)
+    counted = sent.repartitionById(parts, F.col("part")).mapInArrow(lean(_count(parts, with_keys, with_least)), _SCHEMA)
+    return counted.repartitionById(parts, F.col("part")).mapInArrow(lean(_return(finish, with_keys, with_least)), schema)

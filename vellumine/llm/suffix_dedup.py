@@ -80,7 +80,7 @@ def _sample_blocks(length: int):
         ids, datas, sizes, keys, refs, done = [], [], [], [], [], 0
 
         def block() -> Block:
-            return (np.concatenate(ids), np.concatenate(sizes), press.compress(b"".join(datas))), np.concatenate(keys), np.concatenate(refs)
+            return (np.concatenate(ids), np.concatenate(sizes), press.compress(b"".join(datas))), np.concatenate(keys), np.concatenate(refs), None
 
         for batch in row_slices(batches, "text"):
             values, null = int_column(batch, "doc_id")
@@ -133,7 +133,7 @@ def _suffix_blocks(length: int):
         ids, starts, counts, keys, refs, done = [], [], [], [], [], 0
 
         def block() -> Block:
-            return (np.concatenate(ids), np.concatenate(starts), np.concatenate(counts)), np.concatenate(keys), np.concatenate(refs)
+            return (np.concatenate(ids), np.concatenate(starts), np.concatenate(counts)), np.concatenate(keys), np.concatenate(refs), None
 
         for batch in row_slices(batches, "text"):
             w = _words(*text_bytes(batch.column("text"), False))
