@@ -3,8 +3,9 @@
 An example needs tokens, one segment, and loss-bearing tokens; a bin has a limit
 for each. A bin is filled with the example that fits and whose needs, as shares
 of the limits, have the largest dot product with what the bin has left, until
-none fits. Examples are dealt to shards by a hash; each shard is packed by one
-task and leaves at most one poorly filled bin more than a single packing would.
+none fits. Examples are dealt to shards by a hash of the row's number, so that
+rows that repeat part too; each shard is packed by one task and leaves at most
+one poorly filled bin more than a single packing would.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from vellumine.llm.common import batches_by_key, cut, lean, partitions, row_slic
 from vellumine.llm.tokens import VOCABULARY, Counter
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 16, 3072
-#: Examples that one task packs together.
+#: Examples that are packed together, about: the parameter ``shard``. More fill bins a little better and take time with the square.
 SHARD = 4096
 
 _PIECES = pa.schema([("example", pa.int64()), ("piece", pa.int64()), ("token_start", pa.int64()), ("n_tokens", pa.int64()), ("loss_tokens", pa.int64())])
@@ -101,11 +102,15 @@ def _pack_shards(limits: tuple[int, int, int]):
 
 
 def pack_examples(cut_examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, shard: int = SHARD) -> DataFrame:
-    """Bins for (example, piece, token_start, n_tokens, loss_tokens): bin, slot in it, and bin_start, the tokens before it there."""
+    """Bins for (example, piece, token_start, n_tokens, loss_tokens): bin, slot in it, and bin_start, the tokens before it there.
+
+    Rows are numbered as they are read from the written table of pieces, and
+    about ``shard`` of them are packed together; who shares a bin depends on that.
+    """
     spark = cut_examples.sparkSession
     held = cut(cut_examples, "pieces")
     shards = max(1, -(-held.count() // shard))
-    dealt = held.withColumn("shard", F.pmod(F.xxhash64("example", "piece"), F.lit(shards)))
+    dealt = held.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     dealt = dealt.repartition(min(shards, partitions(spark)), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(lean(_pack_shards((max_tokens, max_segments, max_loss))), PACKED)
 
