@@ -8,6 +8,7 @@ matching of the regex library decides.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -109,15 +110,18 @@ def _verify(low: str, lo: int, hi: int, notice: Notice) -> Iterator[tuple[int, i
     them holds no match; that is cheaper to tell than to match.
     """
     size = len(notice.text)
-    while (at := low.find(notice.text, lo, hi)) >= 0:
-        yield from _verify(low, lo, at, notice)
+    while lo < hi:
+        at = low.find(notice.text, lo, hi)
+        end = at if at >= 0 else hi
+        if end - lo >= size - notice.edits:
+            window = low[lo:end]
+            if sum(g in window for g in notice.grams) >= notice.least:
+                for m in notice.pattern.finditer(low, lo, end):
+                    yield m.start(), m.end(), sum(m.fuzzy_counts)
+        if at < 0:
+            return
         yield at, at + size, 0
         lo = at + size
-    if hi - lo >= size - notice.edits:
-        window = low[lo:hi]
-        if sum(g in window for g in notice.grams) >= notice.least:
-            for m in notice.pattern.finditer(low, lo, hi):
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
 
 
 def scan(text: str, search: Search) -> list[tuple[str, int, int, int]]:
@@ -144,11 +148,12 @@ def scan(text: str, search: Search) -> list[tuple[str, int, int, int]]:
             found += [(notice.name, *x) for x in _verify(low, lo, hi, notice)]
     # of notices that overlap the one with the fewest edits stays, then the longest
     found.sort(key=lambda x: (x[3], x[1] - x[2], x[1], x[0]))
-    kept: list[tuple[str, int, int, int]] = []
-    for x in found:
-        if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+    kept: list[tuple[int, int, str, int]] = []  # by place; they don't overlap
+    for name, start, end, edits in found:
+        at = bisect_left(kept, (start,))
+        if (at == len(kept) or kept[at][0] >= end) and (at == 0 or kept[at - 1][1] <= start):
+            kept.insert(at, (start, end, name, edits))
+    return [(name, start, end, edits) for start, end, name, edits in kept]
 
 
 SCHEMA = "doc_id long, license string, start long, end long, edits long"
@@ -160,7 +165,8 @@ def license_notices(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHAR
 
     A notice may have one edit (a character put in, left out or changed) for each
     ``chars_per_edit`` of its characters; case doesn't count, any white space
-    character is a space. Of notices that overlap the one with the fewest edits
+    character is a space. Only ``notices`` are looked for. Comment marks and
+    indentation between wrapped lines count as edits. Of notices that overlap the one with the fewest edits
     is given. Null and empty texts have none, a null doc_id stays null, repeated
     rows give their notices again. Other columns are ignored; an empty table
     gives no rows.
