@@ -23,12 +23,13 @@ from vellumine.llm.common import lean, row_slices, table
 from vellumine.llm.tokens import VOCABULARY, encoding
 
 MIN_CHARS = 16
-#: Characters a token; what has fewer counts as random.
+#: Characters a token; what has fewer counts as random. A shorter run says too little: its ratio varies by chance.
 MAX_RATIO = 2.0
 #: The same for hex digits, of which a token holds more, and after a secret's label; and for letters only without a label.
 WIDE_RATIO, LETTERS_RATIO = 2.5, 1.7
 #: Distinct characters that a random string has at least.
 MIN_DISTINCT = 8
+#: How far before a run its label may stand.
 CONTEXT = 32
 #: Parts of a run with fewer characters than this say nothing by themselves.
 MIN_PART = 4
@@ -137,8 +138,10 @@ def _suspects(text: pa.Array) -> list[int]:
 def secrets(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> DataFrame:
     """Each random string of each document: doc_id, start, end (in characters), n_tokens, chars_per_token, labelled.
 
-    ``labelled`` tells whether a word like token or password stands shortly
-    before. Digests of usual lengths and UUIDs count as known unless such a word
+    A string is a run of ASCII letters, digits and + / _ -, of ``MIN_CHARS`` or
+    more with ``MIN_DISTINCT`` different ones at least; shorter ones and those
+    of other characters aren't looked at. ``labelled`` tells whether a word like
+    token or password stands within ``CONTEXT`` characters before. Digests of usual lengths and UUIDs count as known unless such a word
     does; after a word like sha256 or commit, more lengths and base64 do. Null and empty
     texts have no findings, a null doc_id stays null, repeated rows give their
     findings again. Other columns are ignored; an empty table gives no rows.
@@ -158,7 +161,11 @@ def secrets(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATI
 
 
 def redact(docs: DataFrame, path: str = VOCABULARY, max_ratio: float = MAX_RATIO, mask: str = MASK) -> DataFrame:
-    """``docs`` with each finding of ``secrets`` replaced by ``mask``; all rows and columns stay, n_chars follows if it is there."""
+    """``docs`` with each finding of ``secrets`` replaced by ``mask``; all rows and columns stay, n_chars follows if it is there.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, an
+    empty table stays empty.
+    """
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
