@@ -5,6 +5,10 @@ kept as a fingerprint, in documents and benchmark alike. A passage of
 ``K + WINDOW - 1`` words that both have holds a whole run, so both keep the same
 fingerprint of it: every shared span of that length is found. Fingerprints that
 meet are extended to both sides as far as the words agree.
+
+A benchmark of up to ``CHUNK_BYTES`` is sent to every executor and joined there
+in one pass. A larger one is joined by a shuffle of fingerprints, and only texts
+that share one with an item travel to it.
 """
 
 from __future__ import annotations
@@ -14,19 +18,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.llm import words as W
-from vellumine.llm.common import BROADCAST_LIMIT, int_column, lean, row_slices, table
+from vellumine.llm.common import BROADCAST_LIMIT, cut, doc_chunks, int_column, lean, row_slices, table
 
 U = np.uint64
 K, WINDOW = 8, 6
 #: Shortest shared span that counts, in words, and the length from which none is missed.
 MIN_SPAN = K + WINDOW - 1
-#: Text of benchmark items, in bytes, that is sent to every executor at once; a word takes some 20 bytes there.
+#: Text of benchmark items, in bytes, that is sent to every executor; a word takes some 20 bytes there.
 CHUNK_BYTES = BROADCAST_LIMIT // 4
 
+#: Pairs of places that are looked at in one go.
+HITS = 1 << 21
+
 _CLASS = W.word_class(W.SPACES + W.PUNCTUATION)
 SCHEMA = "doc_id long, item_id long, doc_start long, item_start long, n_words long, item_words long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
@@ -38,6 +45,7 @@ class Items(NamedTuple):
     bounds: np.ndarray
     prints: np.ndarray  #: sorted fingerprints
     at: np.ndarray  #: where each one starts in ``hashes``
+    printed: np.ndarray  #: for each word, whether a fingerprint starts there
 
 
 def winnow(hashes: np.ndarray, bounds: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +64,13 @@ def _items(batch: pa.Table, k: int, window: int) -> Items:
     w = W.hash_words(batch.column("text"), _CLASS)
     at, prints = winnow(w.hashes, w.bounds, k, window)
     order = np.argsort(prints, kind="stable")
-    return Items(int_column(batch, "item_id")[0], w.hashes, w.bounds, prints[order], at[order])
+    return Items(int_column(batch, "item_id")[0], w.hashes, w.bounds, prints[order], at[order], _marked(len(w.hashes), at))
+
+
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
 
 
 def _extend(docs: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, items: np.ndarray, item_lo: np.ndarray, item_hi: np.ndarray, d: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +95,30 @@ def _extend(docs: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray, items: np.
 
 
 def _hits(it: Items, text: pa.Array, k: int, window: int) -> np.ndarray:
-    """Rows (document number, item number, document start, item start, words) of every shared span that is long enough."""
+    """Rows (document number, item number, document start, item start, words) of every shared span that is long enough.
+
+    Of fingerprints that meet one word after the other only the first is
+    extended, so words that repeat in both cost a step for each pair of places,
+    not the length of their span.
+    """
     w = W.hash_words(text, _CLASS)
     at, prints = winnow(w.hashes, w.bounds, k, window)
     a, b = np.searchsorted(it.prints, prints), np.searchsorted(it.prints, prints, "right")
     hit = np.flatnonzero(b > a)
-    if not len(hit):
-        return np.empty((5, 0), np.int64)
-    n = (b - a)[hit]
-    d = np.repeat(at[hit], n)
-    i = it.at[np.repeat(a[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    doc, item = np.searchsorted(w.bounds, d, "right") - 1, np.searchsorted(it.bounds, i, "right") - 1
-    lo, hi = _extend(w.hashes, w.bounds[doc], w.bounds[doc + 1], it.hashes, it.bounds[item], it.bounds[item + 1], d, i)
-    ok = hi - lo >= k + window - 1
-    return np.unique(np.stack([doc, item, lo - w.bounds[doc], lo + i - d - it.bounds[item], hi - lo])[:, ok], axis=1)
+    printed, out = _marked(len(w.hashes), at), []
+    pairs = np.cumsum((b - a)[hit])
+    for lo, hi in doc_chunks(np.concatenate([[0], pairs]), np.concatenate([[0], pairs]), HITS) if len(hit) else ():
+        own = hit[lo:hi]
+        n = (b - a)[own]
+        d = np.repeat(at[own], n)
+        i = it.at[np.repeat(a[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        doc, item = np.searchsorted(w.bounds, d, "right") - 1, np.searchsorted(it.bounds, i, "right") - 1
+        first = (d == w.bounds[doc]) | (i == it.bounds[item]) | ~printed[d - 1] | ~it.printed[i - 1] | (w.hashes[d - 1] != it.hashes[i - 1])
+        d, i, doc, item = d[first], i[first], doc[first], item[first]
+        lo, hi = _extend(w.hashes, w.bounds[doc], w.bounds[doc + 1], it.hashes, it.bounds[item], it.bounds[item + 1], d, i)
+        ok = hi - lo >= k + window - 1
+        out.append(np.unique(np.stack([doc, item, lo - w.bounds[doc], lo + i - d - it.bounds[item], hi - lo])[:, ok], axis=1))
+    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((5, 0), np.int64)
 
 
 def _search(shared, k: int, window: int):
@@ -120,19 +144,59 @@ def _filter(shared, k: int, window: int):
     return run
 
 
-def _chunks(benchmark: DataFrame, size: int) -> Iterator[pa.Table]:
-    """The items in tables of at most about ``size`` bytes, of which the driver holds one."""
-    total = benchmark.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, -(-total // size))
-    for c in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c)
-        yield part.toArrow()
+def _items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+
 
+def _fits(items: DataFrame, limit: int) -> bool:
+    return (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= limit
 
-def _sent(spark: SparkSession, benchmark: DataFrame, k: int, window: int, chunk_bytes: int) -> Iterator:
-    bench = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    for part in _chunks(bench, chunk_bytes):
-        yield spark.sparkContext.broadcast(_items(part, k, window))
+
+def _key() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
+
+
+def _prints(names: list[str], k: int, window: int):
+    """The distinct fingerprints of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, "text"):
+            w = W.hash_words(batch.column("text"), _CLASS)
+            at, prints = winnow(w.hashes, w.bounds, k, window)
+            doc, prints = np.unique(np.stack([(np.searchsorted(w.bounds, at, "right") - 1).astype(U), prints]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *(batch.column(n).take(pa.array(doc.astype(np.int64))) for n in names)], names=["print", *names])
+
+    return run
+
+
+def _verified(k: int, window: int):
+    """The shared spans of each (text, item) row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                it = _items(pa.table({"item_id": row.column("item_id"), "text": row.column("item")}), k, window)
+                _, _, start, item_start, words = _hits(it, row.column("text"), k, window)
+                if len(start):
+                    n, one = len(start), lambda c: pa.array(np.full(n, row.column(c)[0].as_py()))
+                    yield pa.RecordBatch.from_arrays([one("k1"), one("k2"), one("item_id"), pa.array(start), pa.array(item_start), pa.array(words), pa.array(np.full(n, it.bounds[-1]))], names=["k1", "k2", *_ARROW.names[1:]])
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
+    """(k1, k2: the hash of a text, and the columns of a span) by a shuffle join of fingerprints; texts are read once for these and once to be extended."""
+    texts = docs.select(*_key(), "text").where("text IS NOT NULL")
+    own = texts.mapInArrow(lean(_prints(["k1", "k2"], k, window)), "print long, k1 long, k2 long")
+    theirs = items.mapInArrow(lean(_prints(["item_id"], k, window)), "print long, item_id long").distinct()
+    meet = own.join(theirs.hint("shuffle_hash"), "print").select("k1", "k2", "item_id").distinct()
+    pairs = cut(meet, "fingerprint-pairs")
+    hit = texts.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    # an item_id may have several texts
+    both = pairs.join(hit, ["k1", "k2"]).join(items.withColumnRenamed("text", "item"), "item_id")
+    return both.select("k1", "k2", "item_id", "text", "item").mapInArrow(lean(_verified(k, window)), "k1 long, k2 long, " + SCHEMA.split(", ", 1)[1])
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -142,26 +206,34 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, window
     item_words, coverage (n_words / item_words). Words are runs of other than
     ASCII white space and punctuation, in lower case.
 
-    The benchmark is measured before it is sent out; beyond ``chunk_bytes`` it
-    goes in several parts, each with its own pass over the documents. Null,
-    empty and short texts share nothing, rows with a null doc_id or item_id are
-    left out, repeated rows count once, an item that occurs several times in a
-    document gives as many rows. Other columns are ignored; an empty table on
-    either side gives no rows.
+    The benchmark is measured before it is sent out; beyond ``chunk_bytes`` it is
+    joined by a shuffle, with the same result. Null, empty and short texts share
+    nothing, rows with a null doc_id or item_id are left out, repeated rows count
+    once, an item that occurs several times in a document gives as many rows, and
+    so do words that repeat in both: one for each way to lay them over each
+    other. Other columns are ignored; an empty table on either side gives no rows.
     """
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for shared in _sent(docs.sparkSession, benchmark, k, window, chunk_bytes):
-        found = src.mapInArrow(lean(_search(shared, k, window)), SCHEMA)
-        out = found if out is None else out.unionAll(found)
+    src, items = docs.select(F.col("doc_id").cast("long"), "text"), _items_of(benchmark)
+    if _fits(items, chunk_bytes):
+        out = src.mapInArrow(lean(_search(docs.sparkSession.sparkContext.broadcast(_items(items.toArrow(), k, window)), k, window)), SCHEMA)
+    else:
+        src = src.where("doc_id IS NOT NULL")
+        out = src.select("doc_id", *_key()).distinct().join(_joined(src, items, k, window), ["k1", "k2"]).select(_ARROW.names)
     return out.distinct().withColumn("coverage", F.col("n_words") / F.col("item_words"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that share no span of ``k + window - 1`` words with a benchmark item, all columns; nothing is shuffled."""
-    for shared in _sent(docs.sparkSession, benchmark, k, window, chunk_bytes):
-        docs = docs.mapInArrow(lean(_filter(shared, k, window)), docs.schema)
-    return docs
+    """The rows of ``docs`` that share no span of ``k + window - 1`` words with a benchmark item, all columns.
+
+    Nothing is shuffled up to ``chunk_bytes`` of items. Rows are judged by their
+    text, with a null doc_id too; null and empty texts stay.
+    """
+    items = _items_of(benchmark)
+    if _fits(items, chunk_bytes):
+        return docs.mapInArrow(lean(_filter(docs.sparkSession.sparkContext.broadcast(_items(items.toArrow(), k, window)), k, window)), docs.schema)
+    gone = _joined(docs, items, k, window).select("k1", "k2").distinct()
+    k1, k2 = F.xxhash64(docs["text"]), F.xxhash64(docs["text"], F.lit(1))
+    return docs.join(gone, (k1 == gone["k1"]) & (k2 == gone["k2"]), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
