@@ -1,8 +1,9 @@
 """Canonical exact digests: normalise, fold, hash widely, then compare bytes inside equal digests.
 
 Only digests travel for a document without a copy. The text of the others is
-combined in each batch first, so a text with thousands of copies moves once a
-batch, and in its bucket every text is compared with those before it.
+combined in each batch and each task first, so a text with thousands of copies
+moves once a task; grouping them by digest and text compares the bytes. Where two
+texts have one digest, documents are grouped by the text itself.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from unicodedata import is_normalized, normalize
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import BROADCAST_LIMIT, batches_by_key, cut, int_column, lean, partitions, row_slices, table
+from vellumine.llm.common import BROADCAST_LIMIT, cut, lean, release, row_slices, table
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
-_TEXTS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("canon", pa.binary()), ("ids", pa.list_(pa.int64()))])
-_GROUPS = pa.schema([("doc_id", pa.int64()), ("group_id", pa.int64()), ("n_copies", pa.int64())])
+_TEXTS = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("canon", pa.binary())])
+_CLASHED = pa.schema([("doc_id", pa.int64()), ("canon", pa.binary())])
+#: Bytes that a digest takes in the set that executors look in.
+DIGEST_BYTES = 160
 
 
 def canonical(text: str) -> bytes:
@@ -47,38 +49,39 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], schema=_DIGESTS)
 
 
-def _texts(shared):
-    """(digest, text, documents), each text once a batch; with ``shared`` only those of the listed digests."""
+def _texts(shared, documents: bool = False):
+    """(digest, text), each text once a batch, or (document, text) of every row; with ``shared`` only those of the listed digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = set(shared.value.tolist()) if shared is not None else None
+        wanted = shared.value if shared is not None else None
         for batch in row_slices(batches, "text", 16 << 20):
-            found: dict[bytes, list[int]] = {}
-            key: dict[bytes, tuple[int, int]] = {}
-            for i, t in zip(int_column(batch, "doc_id")[0].tolist(), batch.column("text").to_pylist()):
+            found: dict[bytes, tuple[int, int] | None] = {}
+            rows = []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 canon = canonical(t)
                 if canon not in found:
                     halves = _halves(canon)
-                    if wanted is not None and halves[0] not in wanted:
-                        continue
-                    found[canon], key[canon] = [], halves
-                found[canon].append(i)
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[c][0] for c in found], pa.int64()), pa.array([key[c][1] for c in found], pa.int64()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), _TEXTS.field("ids").type)], schema=_TEXTS
-                )
+                    found[canon] = halves if wanted is None or halves in wanted else None
+                if documents and found[canon]:
+                    rows.append((i, canon))
+            rows = rows if documents else [(*h, c) for c, h in found.items() if h]
+            schema = _CLASHED if documents else _TEXTS
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in batches_by_key(batches, ["hi", "lo"]):
-        texts: dict[bytes, list[np.ndarray]] = {}
-        for canon, ids in zip(group.column("canon"), group.column("ids").combine_chunks()):
-            texts.setdefault(canon.as_py(), []).append(ids.values.to_numpy(zero_copy_only=False))
-        for parts in texts.values():
-            ids = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), ids.min())), pa.array(np.full(len(ids), len(ids)))], schema=_GROUPS)
+def _texts_of(src: DataFrame, digests: DataFrame, limit: int, documents: bool = False) -> DataFrame:
+    """What ``_texts`` gives for the listed digests; they are sent to the executors if they take ``limit`` bytes or less."""
+    if digests.count() * DIGEST_BYTES <= limit:
+        got = digests.toArrow()
+        shared = src.sparkSession.sparkContext.broadcast(set(zip(got.column(0).to_pylist(), got.column(1).to_pylist())))
+        return src.mapInArrow(lean(_texts(shared, documents)), "doc_id long, canon binary" if documents else "hi long, lo long, canon binary")
+    if documents:  # by the text's digest, worked out again
+        keyed = src.mapInArrow(lean(_digests), "doc_id long, hi long, lo long").join(digests.hint("shuffle_hash"), ["hi", "lo"], "left_semi").select("doc_id").distinct()
+        return src.join(keyed, "doc_id", "left_semi").mapInArrow(lean(_texts(None, True)), "doc_id long, canon binary")
+    return src.mapInArrow(lean(_texts(None)), "hi long, lo long, canon binary").join(digests.hint("shuffle_hash"), ["hi", "lo"], "left_semi")
 
 
 def exact_groups(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -88,21 +91,20 @@ def exact_groups(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> Dat
     text are left out; repeated rows count as copies and stay repeated. Other
     columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     digests = cut(src.mapInArrow(lean(_digests), "doc_id long, hi long, lo long"), "digests")
-    counted = digests.withColumn("n", F.count("*").over(Window.partitionBy("hi", "lo")))
-    alone = counted.where("n = 1").select("doc_id", F.col("doc_id").alias("group_id"), F.col("n").alias("n_copies"))
-    several = digests.groupBy("hi", "lo").count().where("count > 1").select("hi", "lo")
-    schema = "hi long, lo long, canon binary, ids array<long>"
-    several = cut(several, "repeated-digests")
-    if several.count() * 64 <= broadcast_limit:  # a number in a Python set takes about 60 bytes
-        shared = spark.sparkContext.broadcast(np.unique(several.select("hi").toArrow().column(0).to_numpy()))
-        texts = src.mapInArrow(lean(_texts(shared)), schema)
-    else:
-        texts = src.mapInArrow(lean(_texts(None)), schema).join(several.hint("shuffle_hash"), ["hi", "lo"], "left_semi")
-    together = texts.repartition(partitions(spark), "hi", "lo").sortWithinPartitions("hi", "lo")
-    return alone.unionByName(together.mapInArrow(lean(_compare), "doc_id long, group_id long, n_copies long"))
+    group = [F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies")]
+    counted = digests.groupBy("hi", "lo").agg(*group)
+    several = cut(counted.where("n_copies > 1").select("hi", "lo"), "repeated-digests")
+    texts = _texts_of(src, several, broadcast_limit).groupBy("hi", "lo", "canon").agg(F.lit(1).alias("one"))
+    clashed = cut(texts.groupBy("hi", "lo").count().where("count > 1").select("hi", "lo"), "clashed-digests")
+    release(several)
+    out = digests.join(counted, ["hi", "lo"]).select("doc_id", "group_id", "n_copies", "hi", "lo")
+    if not clashed.isEmpty():
+        own = cut(_texts_of(src, clashed, broadcast_limit, True), "clashed-texts")
+        own = own.join(own.groupBy("canon").agg(*group), "canon").select("doc_id", "group_id", "n_copies")
+        out = out.join(clashed, ["hi", "lo"], "left_anti").select("doc_id", "group_id", "n_copies").unionByName(own)
+    return out.select("doc_id", "group_id", "n_copies")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
