@@ -238,10 +238,47 @@ def test_fingerprints(make, awkward, limit):
     assert fingerprint.exact_groups(make([]), limit).count() == 0
 
 
-def test_equal_digests_are_compared(make, monkeypatch):
-    monkeypatch.setattr(fingerprint, "_halves", lambda c: (1, 1))
-    import pyarrow as pa
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_equal_digests_are_compared(make, monkeypatch, limit):
+    """Documents of texts that have one digest are grouped by their bytes; the digests are made here, where workers see it too."""
+    digests = fingerprint._digests
+
+    def clash(batches):
+        for b in digests(batches):
+            yield b.set_column(1, "hi", __import__("pyarrow").array([1] * b.num_rows, "int64")).set_column(2, "lo", __import__("pyarrow").array([1] * b.num_rows, "int64"))
+
+    def texts(shared, documents=False):
+        inner = real(None, documents)
+
+        def run(batches):
+            pa = __import__("pyarrow")
+            for b in inner(batches):
+                yield b if documents else b.set_column(0, "hi", pa.array([1] * b.num_rows, "int64")).set_column(1, "lo", pa.array([1] * b.num_rows, "int64"))
+
+        return run
+
+    real = fingerprint._texts
+    monkeypatch.setattr(fingerprint, "_digests", clash)
+    monkeypatch.setattr(fingerprint, "_texts", texts)
+    got = sorted(tuple(r) for r in fingerprint.exact_groups(make([(1, "a"), (2, "b"), (3, "A "), (4, None)]), limit).collect())
+    assert got == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
+
+
+def test_many_copies_of_the_empty_text(spark):
+    docs = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "x").otherwise(" ").alias("text"))
+    got = fingerprint.exact_groups(docs).groupBy("group_id", "n_copies").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 999_999, 999_999), (5, 1, 1)]
+
+
+def test_canonical_text_is_that_of_a_table():
+    """The SQL folds less; this holds the whole canonical form against a table."""
+    table = {"Straße": "strasse", "ﬁne": "fine", "E\u0301": "é", "Ａ\u3000１": "a 1", " x\n\ty ": "x y", "ΣΊΣΥΦΟΣ": "σίσυφοσ", "İ": "i̇", "": "", " \x85": ""}
+    assert {t: fingerprint.canonical(t).decode() for t in table} == table
+
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["a", "b", "A ", None])], names=["doc_id", "text"]).slice(0, 3)
-    out = pa.Table.from_batches(fingerprint._compare(fingerprint._texts(None)(iter([batch]))))
-    assert sorted(zip(*(c.to_pylist() for c in out.columns))) == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
+def test_repeated_words_in_both(make, spark):
+    """Every way to lay the words over each other is a row; none takes the time of its length for each pair of places."""
+    bench = spark.createDataFrame([(1, "word " * 300)], "item_id long, text string")
+    got = decontaminate.contaminated_spans(make([(1, "word " * 20_000)]), bench)
+    assert got.count() == 20_000 + 300 - 1 - 2 * (decontaminate.MIN_SPAN - 1)
+    assert decontaminate.without_contaminated(make([(1, "word " * 200_000), (2, "other " * 200_000)]), bench).count() == 1

@@ -48,6 +48,24 @@ def bpe(text):
     return n
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "é", "ab", "1", ".", "\x85"])
+def test_very_long_runs(run):
+    """Runs of one kind that no pattern may walk through step by step."""
+    counter = Counter()
+    short, n = counter.count("x" + run * 400 + "word"), len(encoding().encode_ordinary("x" + run * 400 + "word"))
+    assert short == n
+    for text in (run * 2_000_000, "x" + run * 2_000_000 + "word", run * 2_000_000 + " y"):
+        assert 0 < counter.count(text) <= len(text.encode())
+        assert isinstance(secret_scan.scan(text[:200_000], encoding().encode_ordinary), list)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" ", "\n", "\t", "\r\n", "\u3000", "a", "?", "7"]), st.integers(1, 700)), max_size=5))
+def test_counts_of_long_runs(runs):
+    text = "".join(x * n for x, n in runs)
+    assert Counter().count(text) == len(encoding().encode_ordinary(text))
+
+
 # ---------------------------------------------------------------- secrets
 
 HEX40 = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -200,6 +218,13 @@ def test_license_rows(make, awkward):
     assert license_scan.license_notices(make([])).count() == 0
 
 
+def test_license_many_notices():
+    search = license_scan.build()
+    text = "Released under the MIT license. " * 20_000
+    found = license_scan.scan(text, search)
+    assert len(found) == 20_000 and all(f[0] == "MIT" and f[3] == 0 for f in found)
+
+
 def test_license_creative_commons():
     search = license_scan.build()
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
@@ -424,6 +449,21 @@ def test_pack_documents_keeps_all_three_limits(make):
     check_bins(got, (packing.MAX_TOKENS, packing.MAX_SEGMENTS, packing.MAX_LOSS))
 
 
+def test_pack_many_equal_rows(spark):
+    """Copies of one row are dealt to several shards."""
+    rows = spark.range(60_000).select(F.lit(1).cast("long").alias("example"), F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("token_start"), F.lit(900).cast("long").alias("n_tokens"), F.lit(700).cast("long").alias("loss_tokens"))
+    got = packing.pack_examples(rows)
+    bins = got.groupBy("bin").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).agg(F.sum("n"), F.max("tokens"), F.count("*")).first()
+    assert bins[0] == 60_000 and bins[1] <= packing.MAX_TOKENS and bins[2] < 60_000 / 4 * 1.02
+    assert got.select(F.shiftright("bin", 32).alias("s")).groupBy("s").count().agg(F.max("count")).first()[0] < 2 * packing.SHARD
+
+
+def test_very_long_white_space_is_packed(make):
+    rows = [(1, " " * 2_000_000), (2, "\n" * 2_000_000 + "end"), (3, "ab" * 1_000_000)]
+    got = packing.pack_documents(make(rows)).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
+    assert {r[0]: r[1] for r in got} == {i: Counter().count(t) for i, t in rows}
+
+
 def test_pack_conversations(spark):
     rng = random.Random(16)
     schema = "conv_id long, turn long, role string, text string"
@@ -463,10 +503,8 @@ def labelled(rng, n, biased=False):
     return rows
 
 
-def keyed(rows):
-    owner, keys = toxicity.features(W.hash_words(pa.array([t for _, t, _ in rows]), toxicity._CLASS))
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-    return [(y, keys[a:b]) for (_, _, y), a, b in zip(rows, cuts, cuts[1:])]
+def keyed(rows, groups=toxicity.IDENTITY):
+    return list(toxicity.examples(pa.array([t for _, t, _ in rows]), [y for _, _, y in rows], groups))
 
 
 def test_held_out_accuracy():
@@ -510,17 +548,94 @@ def test_scores_brute_force():
         assert toxicity.scores(model, pa.array([text]))[0] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_swaps_brute_force():
+    """Swapped texts have the features that their words written out have."""
+    text = "Women and christians met; christianity, black women, Men."
+    groups = (("women", "men", "girls"), ("christians", "jews"), ("black", "white"))
+    (example,) = keyed([(0, text, 1)], groups)
+    plain = lambda t: set(toxicity.features(W.hash_words(pa.array([t]), toxicity._CLASS))[1].tolist())
+    low = re.findall("[a-z]+", text.lower())
+    want = []
+    for g in groups:
+        for k in range(1, len(g)):
+            new = " ".join(g[(g.index(w) + k) % len(g)] if w in g else w for w in low)
+            want.append((plain(new) - plain(text), plain(text) - plain(new), 1 / (len(g) - 1)))
+    assert [(set(a.tolist()), set(b.tolist()), x) for a, b, x in example.swaps] == want and len(want) == 4
+    assert set(example.keys.tolist()) == plain(text)
+
+
+def test_gradient_brute_force():
+    """The gradient is that of the loss, whose penalty is the change of score of each swapped text."""
+    rng = np.random.default_rng(23)
+    rows = keyed([(i, t.replace("muslims", "christians and women"), y) for i, t, y in labelled(random.Random(23), 60, biased=True)])
+    vocab = np.unique(np.concatenate([e.keys for e in rows]))
+    swaps = [(toxicity._places(vocab, a), toxicity._places(vocab, b), x) for e in rows for a, b, x in e.swaps]
+    loss = toxicity.Loss(np.array([e.toxic for e in rows], float), [toxicity._places(vocab, e.keys) for e in rows], swaps, len(vocab), 4.0)
+    w, bias = rng.normal(size=len(vocab)), 0.3
+    weight = dict(zip(vocab.tolist(), w.tolist()))
+    score = lambda keys: sum(weight.get(k, 0.0) for k in keys)
+    changes = [score((set(e.keys.tolist()) | set(a.tolist())) - set(b.tolist())) - score(e.keys.tolist()) for e in rows for a, b, _ in e.swaps]
+    assert len(changes) > 20 and loss.changes(w) == pytest.approx(changes)
+    g, gb = loss.gradient(w, bias)
+    for j in rng.integers(0, len(vocab), 30):
+        step = np.zeros(len(vocab))
+        step[j] = 1e-5
+        assert g[j] == pytest.approx((loss.value(w + step, bias) - loss.value(w - step, bias)) / 2e-5, abs=1e-6)
+    assert gb == pytest.approx((loss.value(w, bias + 1e-5) - loss.value(w, bias - 1e-5)) / 2e-5, abs=1e-6)
+
+
+def test_fit_finds_the_least_loss():
+    rows = keyed(labelled(random.Random(24), 400, biased=True))
+    model = toxicity.fit(rows)
+    swaps = [(toxicity._places(model.keys, a), toxicity._places(model.keys, b), x) for e in rows for a, b, x in e.swaps]
+    loss = toxicity.Loss(np.array([e.toxic for e in rows], float), [toxicity._places(model.keys, e.keys) for e in rows], swaps, len(model.keys), toxicity.COUNTERFACTUAL)
+    least = loss.value(model.weights, model.bias)
+    rng = np.random.default_rng(24)
+    assert all(loss.value(model.weights + rng.normal(size=len(model.keys)) * s, model.bias + rng.normal() * s) > least - 1e-3 for s in (0.01, 0.1, 1.0) for _ in range(20))
+    assert least < loss.value(np.zeros(len(model.keys)), 0.0) / 2
+
+
 def test_selection_in_spark_is_the_same(spark):
     rows = keyed(labelled(random.Random(22), 500, biased=True))
-    held = spark.createDataFrame([(int(y), k.tobytes()) for y, k in rows], "toxic int, keys binary")
-    toxic = np.array([y for y, _ in rows], float)
-    always = np.concatenate(toxicity.identity_hashes())
-    owner = np.repeat(np.arange(len(rows)), [len(k) for _, k in rows])
-    want = toxicity._select(np.concatenate([k for _, k in rows]), owner, toxic, always, 20)
+    held = spark.createDataFrame([(e.toxic, e.keys.tobytes()) for e in rows], "toxic int, keys binary")
+    toxic = np.array([e.toxic for e in rows], float)
+    always = toxicity.identity_keys()
+    owner = np.repeat(np.arange(len(rows)), [len(e.keys) for e in rows])
+    want = toxicity._select(np.concatenate([e.keys for e in rows]), owner, toxic, always, 20)
     got = toxicity._select_spark(held, len(rows), int(toxic.sum()), always, 20)
     assert got.tolist() == want.tolist() and len(got) >= 3
 
 
+def test_training_in_spark_is_the_same(spark, make):
+    rows = labelled(random.Random(25), 300, biased=True)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got, want = toxicity.train(make(rows), labels), toxicity.fit(keyed(rows))
+    assert got.keys.tolist() == want.keys.tolist() and got.weights == pytest.approx(want.weights, abs=1e-6)
+
+
+def test_training_rows_are_bounded_after_the_join(spark, make, monkeypatch):
+    """A doc_id that repeats, with one text or many, doesn't bring more rows to the driver than the bound."""
+    rows = labelled(random.Random(26), 100)
+    many = [*rows, *((7, t + f" v{k}", y) for k in range(3) for i, t, y in rows), *(rows[:1] * 200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    descend = toxicity.descend
+    monkeypatch.setattr(toxicity, "descend", lambda toxic, *a, **k: seen.append(len(toxic)) or descend(toxic, *a, **k))
+    toxicity.train(make(many), labels, rows=150)
+    assert 100 <= seen[0] <= 150
+
+
+def test_null_and_blank_texts_stay_whatever_the_bias(make):
+    """Where clean documents carry the evidence, the score without any is high."""
+    rng = random.Random(27)
+    rows = [(i, " ".join([*words(rng, 20, 40), *(["garden"] if i % 2 else [])]), 1 - i % 2) for i in range(400)]
+    model = toxicity.fit(keyed(rows))
+    assert model.bias > 0 and not toxicity.judged(model, pa.array([None, "", "unheard"], pa.string()))[1].any()
+    docs = make([(1, None), (2, ""), (3, " \n\t"), (4, "unheard"), (5, "garden"), (None, None)])
+    assert toxicity.keep_clean(docs, model).count() == 6
+    assert not [r for r in toxicity.score_documents(docs, model).collect() if r.toxic]
+
+
 def test_toxicity_rows(spark, make, awkward):
     rows = labelled(random.Random(20), 400)
     docs = make([*((1000 + i, t) for i, t, _ in rows), *awkward]).withColumn("toxic", F.lit("x")).withColumn("label_id", F.lit(1))
