@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 
 import pytest
@@ -162,6 +163,21 @@ def test_errors():
             pass
 
 
+def test_a_cut_block_that_reads_as_one_symbol_for_ever_ends_at_once():
+    """Past the end all bits are 0; with codes of a bit, of which 0 is a letter, no end of the block comes."""
+    order = [16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15]
+    number = lambda v, n: "".join(str(v >> i & 1) for i in range(n))
+    sizes = {0: 2, 1: 2, 18: 1}
+    bits = "1" + number(2, 2) + number(0, 5) + number(0, 5) + number(14, 4) + "".join(number(sizes.get(i, 0), 3) for i in order[:18])
+    zeros = lambda n: "0" + number(n - 11, 7)
+    bits += zeros(65) + "11" + zeros(138) + zeros(52) + "11" + "10"
+    data = bytes(int(bits[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+    start = time.process_time()
+    with pytest.raises(PdfError):
+        inflate.slow_inflate(data)
+    assert time.process_time() - start < 1
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.data())
 def test_damage_never_escapes(data):

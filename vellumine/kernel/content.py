@@ -20,6 +20,11 @@ _TOKEN = re.compile(
     rb"|\((?P<plain>[^()\\]*)\)|(?P<open>\()|(?P<dict><<)|<(?P<hex>[^>]*)>?|(?P<start>\[)|(?P<end>\])"
     rb"|/(?P<name>[^\0\t\n\x0c\r ()<>\[\]{}/%]*)|(?P<op>[^\0\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<stray>>>?|[){}]))"
 )
+#: An operator with operands of the usual kinds, in one go: a name, numbers, a plain string. What looks otherwise is read token by token.
+_USUAL = re.compile(
+    rb"[\t\n\r ]*+(?:/([A-Za-z0-9_.+-]++)[\t\n\r ]++)?((?:[+-]?(?:[0-9]++\.?[0-9]*+|\.[0-9]++)[\t\n\r ]++)*+)"
+    rb"(?:\(([^()\\]*+)\)[\t\n\r ]*+)?([A-Za-z][A-Za-z0-9]?\*?|['\"])(?=[\t\n\r ]|\Z)"
+)
 _PAREN = re.compile(rb"[()\\]")
 _ANGLES = re.compile(rb"<<|>>")
 _MCID = re.compile(rb"/MCID[\0\t\n\x0c\r ]*([0-9]+)")
@@ -44,6 +49,8 @@ def concat(n, m) -> tuple:
 
 
 def scales(m) -> tuple[float, float]:
+    if not m[1] and not m[2]:
+        return abs(m[0]), abs(m[3])
     return f32(math.hypot(m[0], m[1])), f32(math.hypot(m[2], m[3]))
 
 
@@ -161,8 +168,14 @@ class Page:
         state = state or State()
         tokens = Tokens(data)
         nums, name, string, array = [], None, None, None
+        usual = _USUAL.match
         while not (self.active and self.output >= self.max_output):
-            kind, v = tokens.next()
+            if not nums and name is None and string is None and array is None and (m := usual(data, tokens.at)):
+                tokens.at = m.end()
+                name, operands, string, v = m.groups()
+                nums, kind = [f32(float(x)) for x in operands.split()] if operands else nums, "op"
+            else:
+                kind, v = tokens.next()
             if kind == "num":
                 nums.append(v)
             elif kind == "name":

@@ -102,8 +102,12 @@ def slow_inflate(data: bytes) -> bytes:
             bits.at = 8 * (at + 4 + size)
             continue
         literals, distances = _FIXED if kind == 1 else _tables(bits)
-        while (s := literals.next(bits)) != 256:
-            if len(out) >= MAX_OUTPUT:
+        end = 8 * len(data)
+        while True:
+            ended = bits.at >= end  # from here on all bits are 0, so one symbol comes for ever
+            if (s := literals.next(bits)) == 256:
+                break
+            if len(out) >= MAX_OUTPUT or ended and s < 256:
                 raise fail("output is too large")
             if s < 256:
                 out.append(s)
@@ -115,10 +119,12 @@ def slow_inflate(data: bytes) -> bytes:
             far = _DISTANCES[d] + bits.read(_DISTANCE_BITS[d])
             if far > len(out):
                 raise fail("distance reaches before the start")
-            if len(out) + size > MAX_OUTPUT:
+            if ended or len(out) + size > MAX_OUTPUT:
                 raise fail("output is too large")
-            for _ in range(size):
-                out.append(out[-far])
+            if far >= size:
+                out += out[len(out) - far : len(out) - far + size]
+            else:
+                out += (out[-far:] * (size // far + 1))[:size]
     return bytes(out)
 
 

@@ -63,10 +63,14 @@ class Stream(NamedTuple):
         return data[self.start : end] if end <= len(data) else b""
 
 
+_single = struct.Struct("f")
+_pack, _unpack = _single.pack, _single.unpack
+
+
 def f32(x: float) -> float:
     """``x`` in single precision."""
     try:
-        return struct.unpack("f", struct.pack("f", x))[0]
+        return _unpack(_pack(x))[0]
     except OverflowError:
         return float("inf") if x > 0 else float("-inf")
 
