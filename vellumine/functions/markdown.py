@@ -21,14 +21,9 @@ def join_pages(pages: Column, page_breaks: bool = False) -> Column:
 
 
 def join_paragraph(lines: Column) -> Column:
-    """Lines with single spaces between; a hyphen before a small letter goes."""
-
-    def step(out: Column, line: Column) -> Column:
-        glued = F.concat(F.substring(out, F.lit(1), F.char_length(out) - 1), line)
-        spaced = F.concat(out, F.when((out == "") | out.endswith(" "), F.lit("")).otherwise(F.lit(" ")), line)
-        return F.when(out.endswith("-") & line.rlike(r"^\p{IsLowercase}"), glued).otherwise(spaced)
-
-    return F.when(F.size(lines) == 0, F.lit("")).otherwise(F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.get(lines, F.lit(0)), step))
+    """Lines, which hold no line ends, with single spaces between; a hyphen before a small letter goes."""
+    glued = F.regexp_replace(F.array_join(lines, "\n"), r"-\n(?=\p{IsLowercase})", "")
+    return F.regexp_replace(F.regexp_replace(glued, r"\A\n+", ""), r" ?\n+", " ")
 
 
 def link_images(markdown: Column, folder: str) -> Column:

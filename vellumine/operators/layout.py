@@ -68,23 +68,30 @@ def strip_margins(spans: DataFrame, margins: DataFrame, doc: list[str], page: st
 
 
 def visual_lines(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, y, spans, text): a line takes spans, from top to bottom, while they are near the height of its first one."""
+    """(keys, line, y, spans, text): a line takes spans, from top to bottom, while they are near the height of its first one.
+
+    A span that isn't near the one above it starts a line in any case; only what
+    lies between two such is folded span by span.
+    """
     # order inside a line: by x, then as the lines were read, from the top
     fields = ["x", "down", "seq", "y", "font_size", "text", "kind", "space_before"]
-    spans = spans.withColumn("down", -F.col("y"))
-    page = spans.groupBy(*keys).agg(F.collect_list(F.struct(F.col("down").alias("first"), *fields)).alias("all"))
+    near = F.greatest((F.col("font_size") * F.lit(0.45).cast("float")).cast("float"), F.lit(2.0).cast("float"))
+    spans = spans.withColumn("down", -F.col("y")).withColumn("near", near)
+    above = F.lag("y").over(Window.partitionBy(*keys).orderBy("down", *fields))
+    spans = islands(spans, keys, ["down", *fields], ~(F.abs(above - F.col("y")) < F.col("near")), "run")
     item = F.struct(*(F.col(c) for c in fields))
+    page = spans.groupBy(*keys, "run").agg(F.collect_list(F.struct(F.col("down").alias("first"), *fields, "near")).alias("all"))
     kind = f"array<struct<y: float, spans: array<{spans.select(item.alias('s')).schema['s'].dataType.simpleString()}>>>"
 
     def step(out: Column, s: Column) -> Column:
         plain = F.struct(*(s[c].alias(c) for c in fields))
         last = F.try_element_at(out, F.lit(-1))
-        joins = F.abs(last["y"] - s["y"]) < F.greatest((s["font_size"] * F.lit(0.45).cast("float")).cast("float"), F.lit(2.0).cast("float"))
         grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["y"].alias("y"), F.concat(last["spans"], F.array(plain)).alias("spans"))))
-        return F.when(joins, grown).otherwise(F.concat(out, F.array(F.struct(s["y"].alias("y"), F.array(plain).alias("spans")))))
+        return F.when(F.abs(last["y"] - s["y"]) < s["near"], grown).otherwise(F.concat(out, F.array(F.struct(s["y"].alias("y"), F.array(plain).alias("spans")))))
 
-    folded = page.select(*keys, F.aggregate(F.array_sort("all"), F.array().cast(kind), step).alias("lines"))
-    lines = folded.select(*keys, F.posexplode("lines").alias("line", "l")).select(*keys, "line", "l.y", F.array_sort("l.spans").alias("spans"))
+    folded = page.select(*keys, "run", F.aggregate(F.array_sort("all"), F.array().cast(kind), step).alias("lines"))
+    number = (F.row_number().over(Window.partitionBy(*keys).orderBy("run", "at")) - 1).alias("line")
+    lines = folded.select(*keys, "run", F.posexplode("lines").alias("at", "l")).select(*keys, number, "l.y", F.array_sort("l.spans").alias("spans"))
     return lines.withColumn("text", trim(concat_spans(F.filter("spans", lambda s: s["kind"] != "image"))))
 
 

@@ -11,19 +11,8 @@ from vellumine.functions import markdown as M
 
 def text_blocks(text: Column) -> Column:
     """Array of blocks, each an array of trimmed lines; blank lines part them."""
-    lines = F.transform(F.split(text, "\n"), lambda x: L.trim(x))
-    empty = F.array().cast("array<array<string>>")
-
-    def step(out: Column, line: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(last, F.array(line))))
-        return (
-            F.when(line == "", F.when((F.size(out) > 0) & (F.size(last) > 0), F.concat(out, F.array(F.array().cast("array<string>")))).otherwise(out))
-            .when(F.size(out) == 0, F.array(F.array(line)))
-            .otherwise(grown)
-        )
-
-    return F.filter(F.aggregate(lines, empty, step), lambda b: F.size(b) > 0)
+    whole = F.array_join(F.transform(F.split(text, "\n"), lambda x: L.trim(x)), "\n")
+    return F.transform(F.filter(F.split(whole, "\n\n+"), lambda b: F.regexp_like(b, F.lit("[^\n]"))), lambda b: F.split(F.trim(b, F.lit("\n")), "\n"))
 
 
 def format_block(block: Column) -> Column:

@@ -30,16 +30,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _decorated(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text): documents, with headings, list items and hyphens put in by line number."""
+    """(doc_id, text): documents, with headings, list items and hyphens put in by line number; what follows a heading or a hyphen goes on in a line of its own."""
 
     def line(x: Column, i: Column) -> Column:
         k = i % 7
+        rest = lambda n: F.substring(x, F.lit(n + 1), F.char_length(x))
         return (
-            F.when(k == 1, F.concat(F.lit("\n"), F.translate(F.substring(x, 1, 40), LOWER, UPPER), F.lit("\n")))
+            F.when(k == 1, F.concat(F.lit("\n"), F.translate(F.substring(x, 1, 40), LOWER, UPPER), F.lit("\n"), rest(40)))
             .when(k == 2, F.concat(F.lit("• "), x))
             .when(k == 3, F.concat(F.lit("3) "), x, F.lit("\n")))
-            .when(k == 4, F.concat(F.substring(x, 1, 20), F.lit("-")))
-            .when(k == 6, F.concat(F.lit("\n1.2 "), F.substring(x, 1, 30), F.lit("\n")))
+            .when(k == 4, F.concat(F.substring(x, 1, 20), F.lit("-"), F.when(rest(20) != "", F.concat(F.lit("\n"), rest(20))).otherwise("")))
+            .when(k == 6, F.concat(F.lit("\n1.2 "), F.substring(x, 1, 30), F.lit("\n"), rest(30)))
             .otherwise(x)
         )
 
@@ -59,9 +60,9 @@ _NUM, _BUL, _ORD = rf"^([0-9]+(?:\.[0-9]+)*)\.?[{WS}]+", rf"^[-*•◦▪‣⁃]
 SQL_DECORATED = f"""d0 AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 d1 AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d0),
 decorated AS (SELECT doc_id, string_agg(CASE i % 7
-  WHEN 1 THEN chr(10) || translate(left(x, 40), '{LOWER}', '{UPPER}') || chr(10)
-  WHEN 2 THEN '• ' || x WHEN 3 THEN '3) ' || x || chr(10) WHEN 4 THEN left(x, 20) || '-'
-  WHEN 6 THEN chr(10) || '1.2 ' || left(x, 30) || chr(10) ELSE x END, chr(10) ORDER BY i) AS text FROM d1 GROUP BY doc_id)"""
+  WHEN 1 THEN chr(10) || translate(left(x, 40), '{LOWER}', '{UPPER}') || chr(10) || substr(x, 41)
+  WHEN 2 THEN '• ' || x WHEN 3 THEN '3) ' || x || chr(10) WHEN 4 THEN left(x, 20) || '-' || CASE WHEN length(x) > 20 THEN chr(10) || substr(x, 21) ELSE '' END
+  WHEN 6 THEN chr(10) || '1.2 ' || left(x, 30) || chr(10) || substr(x, 31) ELSE x END, chr(10) ORDER BY i) AS text FROM d1 GROUP BY doc_id)"""
 
 
 def _sql_lines(source: str, keys: str = "doc_id") -> str:
@@ -419,8 +420,12 @@ SQL_PADDED = "SELECT doc_id, hex(encode(text)) || repeat('20', (16 - strlen(text
 # ------------------------------------------------------------------ whole files
 
 
+#: Bytes up to which the files are made by all cores whatever the partitions of the source.
+SMALL = 256 << 20
+
+
 def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes]) -> DataFrame:
-    """(key, content) of a file that ``build`` makes from each value of ``source``."""
+    """(key, content) of a file that ``build`` makes from each value of ``source``; a small table, which may lie in one row group, is first dealt to all cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +434,10 @@ def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes
                 files = [build(v) for v in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], names=[key, "content"])
 
-    return df.select(key, source).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+    df = df.select(key, source)
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
 
 
 def _split(t: str) -> list[str]:
@@ -601,15 +609,14 @@ SQL_ERRORS = f"""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'NOT_PDF' WHEN 2 THE
 
 
 def pdf_spans_formatted(spark, sf):
-    """Decoded spans as a table, formatted again from it."""
-    files = as_pdf(_decorated(spark, sf), "doc_id", "text", lambda t: B.text_pdf([_split(t)], packed=True))
+    """Decoded spans as a table, formatted again from it; documents without spans are empty ones."""
+    docs = _decorated(spark, sf)
+    files = as_pdf(docs, "doc_id", "text", lambda t: B.text_pdf([_split(t)], packed=True))
     spans = decode.spans(decode.decode_documents(files))
     pages = layout.format_spans(spans)
     done = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_idx", "markdown"))).alias("p"))
-    return text.finish(done, F.col("p.markdown")).select("doc_id", "markdown")
-
-
-SQL_SPANS = f"SELECT * FROM ({SQL_PDF}) WHERE markdown <> chr(10)"
+    done = docs.select("doc_id").join(done, "doc_id", "left")
+    return text.finish(done, F.coalesce(F.col("p.markdown"), F.array().cast("array<string>"))).select("doc_id", "markdown")
 
 _LINE = {
     "heading_shapes": _line_query(lambda c: {"shaped": L.heading_shaped(c), "words": L.word_count(c).cast("long")}, None, ", shaped, words", ""),
@@ -652,7 +659,7 @@ _ALL: dict[str, tuple[Callable, str]] = {
     "pdf_roundtrip_text": (_pdf_query(lambda t: B.text_pdf([_split(t)])), SQL_PDF),
     "pdf_objstm_roundtrip": (_pdf_query(lambda t: B.text_pdf([_split(t)], packed=True)), SQL_PDF),
     "pdf_forms_roundtrip": (_pdf_query(_form_pdf), SQL_PDF),
-    "pdf_spans_formatted": (pdf_spans_formatted, SQL_SPANS),
+    "pdf_spans_formatted": (pdf_spans_formatted, SQL_PDF),
     "pdf_multipage_roundtrip": (pdf_multipage_roundtrip, SQL_MULTIPAGE),
     "pdf_tagged_headings": (pdf_tagged_headings, SQL_TAGGED),
     "pdf_images": (pdf_images, SQL_IMAGES),
