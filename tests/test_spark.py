@@ -258,3 +258,26 @@ def test_token_quality(spark):
     b = spark.createDataFrame([(1, "the dog cat cat cat"), (4, "y")], "k int, text string")
     got = {r.k: (r.found, r.expected, r.common, r.recall, r.precision) for r in token_quality(a, b, "k").collect()}
     assert got == {1: (4, 5, 3, 0.6, 0.75), 3: (1, 0, 0, None, 0.0), 4: (0, 1, 0, 0.0, None)}
+
+
+def test_sinks_and_source_take_uris(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([("a", "# A\n", [("img-001.png", b"P")]), ("b", None, None)], "stem string, markdown string, images array<struct<filename: string, bytes: binary>>")
+    assert [tuple(r) for r in sinks.write_markdown(rows, out).collect()] == [("a.md", f"{out}/a.md", 4)]
+    assert sinks.write_images(rows, out, "stem").count() == 1
+    assert (tmp_path / "out" / "a.md").read_text() == "# A\n" and (tmp_path / "out" / "a" / "img-001.png").read_bytes() == b"P"
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "a.md"]
+    (tmp_path / "out" / "x.PDF").write_bytes(text_pdf([["One"]]))
+    files.register(spark)
+    got = spark.read.format("pdf").load(out).collect()
+    assert [(r.path, r.markdown) for r in got] == [(f"{out}/x.PDF", "# One\n")]
+
+
+def test_many_lines_of_one_text(spark):
+    """Blocks, paragraphs and visual lines take time in proportion to their lines."""
+    n = 100_000
+    docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("some words, "), i.cast("string"))), "\n").alias("text"))
+    page = docs.select(text.text_page(F.col("text")).alias("m")).first().m
+    assert page.count("some words, ") == n and "\n" not in page
+    lines = layout.visual_lines(layout.text_layout(docs, ["doc_id"]), ["doc_id"])
+    assert lines.agg(F.count("*"), F.max("line")).first()[:] == (n, n - 1)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import tempfile
+import uuid
 import zlib
+from codecs import encode as rot13
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +19,9 @@ from vellumine.functions import codecs
 from vellumine.functions import lines as L
 from vellumine.functions import markdown as M
 from vellumine.operators import decode, layout, text
+from vellumine.plans import api
 from vellumine.plans.metrics import token_quality
+from vellumine.sources import files, sinks
 from vellumine.testing import pdf_builder as B
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -380,13 +385,19 @@ def _encoded(df: DataFrame, fn: Callable[[bytes], bytes], column: str = "text")
 
 
 def _with_tags(raw: bytes, width: int = 16) -> bytes:
+    """Rows of ``width`` bytes, predicted in turn by each of the five ways."""
     raw += b" " * (-len(raw) % width)
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, width).astype(np.int16)
     out = np.zeros((len(rows), width + 1), np.uint8)
     for i, row in enumerate(rows):
-        tag = i % 3
+        tag = i % 5
+        up = rows[i - 1] if i else np.zeros(width, np.int16)
+        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], up[:-1]])
+        guess = left + up - corner
+        a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
         out[i, 0] = tag
-        out[i, 1:] = row if tag == 0 else np.diff(row, prepend=np.uint8(0)) if tag == 1 else row - rows[i - 1]
+        out[i, 1:] = (row - (0, left, up, (left + up) // 2, nearest)[tag]) & 255
     return out.tobytes()
 
 
@@ -399,6 +410,12 @@ def flate_roundtrip(spark, sf):
     return docs.select("doc_id", F.decode(codecs.flate(_encoded(docs, zlib.compress)), "UTF-8").alias("text"))
 
 
+def flate_stored_roundtrip(spark, sf):
+    """Blocks that are stored as they are."""
+    docs = _documents(spark, sf)
+    return docs.select("doc_id", F.decode(codecs.flate(_encoded(docs, lambda b: zlib.compress(b, 0))), "UTF-8").alias("text"))
+
+
 def ascii85_roundtrip(spark, sf):
     docs = _documents(spark, sf)
     return docs.select("doc_id", F.decode(codecs.ascii85(_encoded(docs, lambda b: base64.a85encode(b, wrapcol=72) + b"~>")), "UTF-8").alias("text"))
@@ -513,15 +530,17 @@ j AS (SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY i) AS md FROM b
 SELECT doc_id, {_QUOTES.format(_sql_title("coalesce(md, '')"))} AS markdown FROM src LEFT JOIN j USING (doc_id)"""
 
 
+def _raster(b: B.Builder, raw: bytes) -> int:
+    """The bytes, filled up with spaces, as one row of RGB."""
+    raw += b" " * (-len(raw) % 3 if raw else 3)
+    return b.stream(raw, b"/Type /XObject /Subtype /Image /Width %d /Height 1 /ColorSpace /DeviceRGB /BitsPerComponent 8" % (len(raw) // 3), flate=True)
+
+
 def _image_pdf(v: dict) -> bytes:
+    """The text as a JPEG's bytes, and for some documents as one or two rasters."""
     b = B.Builder()
-    names = []
     raw = v["text"].encode()
-    for i in range(v["doc_id"] % 3):
-        if i:
-            names.append(b.stream(raw[:1].ljust(3, b"x") * 2, b"/Type /XObject /Subtype /Image /Width 2 /Height 1 /ColorSpace /DeviceRGB /BitsPerComponent 8", flate=True))
-        else:
-            names.append(b.stream(raw, b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /Filter /DCTDecode"))
+    names = [b.stream(raw, b"/Type /XObject /Subtype /Image /Width 1 /Height 1 /Filter /DCTDecode"), *(_raster(b, raw) for _ in range(v["doc_id"] % 3))]
     b.page(b"\n".join(b"q 1 0 0 1 50 %d cm /Im%d Do Q" % (700 - 100 * i, n) for i, n in enumerate(names)), b"/XObject <<%s>>" % b" ".join(b"/Im%d %d 0 R" % (n, n) for n in names))
     return b.build()
 
@@ -532,8 +551,129 @@ def pdf_images(spark, sf):
     return done.select("doc_id", "markdown", F.size("images").alias("n_images"), F.octet_length(F.get("images", F.lit(0))["bytes"]).cast("long").alias("first_size"))
 
 
-SQL_IMAGES = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '![](figs/img-001.jpg)' ELSE '![](figs/img-001.jpg)' || chr(10) || chr(10) || '![](figs/img-002.png)' END || chr(10) AS markdown,
-  CAST(doc_id % 3 AS INT) AS n_images, CASE WHEN doc_id % 3 > 0 THEN strlen(text) END AS first_size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
+SQL_IMAGES = """SELECT doc_id, '![](figs/img-001.jpg)' || CASE WHEN doc_id % 3 > 0 THEN chr(10) || chr(10) || '![](figs/img-002.png)' ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN chr(10) || chr(10) || '![](figs/img-003.png)' ELSE '' END || chr(10) AS markdown,
+  CAST(doc_id % 3 + 1 AS INT) AS n_images, strlen(text) AS first_size FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"""
+
+
+def _pixels(png: bytes) -> bytes:
+    """Rows of a PNG file without their filter tags, which are all 0."""
+    at, body, width, deep = 8, b"", 0, 0
+    while at < len(png):
+        size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        data = png[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + data) != int.from_bytes(png[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError("bad checksum")
+        if kind == b"IHDR":
+            width, deep = int.from_bytes(data[:4], "big"), {0: 1, 2: 3}[data[9]]
+        body += data if kind == b"IDAT" else b""
+        at += 12 + size
+    raw, step = zlib.decompress(body), width * deep + 1
+    if any(raw[::step]):
+        raise ValueError("unknown filter")
+    return b"".join(raw[i + 1 : i + step] for i in range(0, len(raw), step))
+
+
+def pdf_png_pixels(spark, sf):
+    """The bytes of each text as a raster, written as PNG and read again."""
+
+    def build(t: str) -> bytes:
+        b = B.Builder()
+        n = _raster(b, t.encode())
+        b.page(b"q 1 0 0 1 50 700 cm /Im%d Do Q" % n, b"/XObject <</Im%d %d 0 R>>" % (n, n))
+        return b.build()
+
+    done = decode.convert_documents(as_pdf(_documents(spark, sf), "doc_id", "text", build), image_dir="figs").select("doc_id", F.get("images", F.lit(0))["bytes"].alias("png"))
+    pixels = F.pandas_udf(lambda v: v.map(lambda x: None if x is None else _pixels(x)), "binary")
+    return done.select("doc_id", F.hex(pixels("png")).alias("bytes"))
+
+
+SQL_PIXELS = "SELECT doc_id, CASE WHEN text = '' THEN '202020' ELSE hex(encode(text)) || repeat('20', (3 - strlen(text) % 3) % 3) END AS bytes FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"
+
+
+def _composite_pdf(t: str) -> bytes:
+    """A font with two-byte codes whose meaning is in its character map alone."""
+    b, lines = B.Builder(), _split(t)
+    codes = {c: i for i, c in enumerate(sorted(set("".join(lines))), 1)}
+    pairs = [b"<%04X> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()]
+    maps = b"\n".join(b"%d beginbfchar\n%s\nendbfchar" % (len(p), b"\n".join(p)) for p in (pairs[i : i + 100] for i in range(0, len(pairs), 100)))
+    cmap = b.stream(b"/CIDInit /ProcSet findresource begin\nbegincmap\n1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n%s\nendcmap\nend" % maps, flate=True)
+    font = b.add(b"<</Type /Font /Subtype /Type0 /BaseFont /Some /Encoding /Identity-H /ToUnicode %d 0 R>>" % cmap)
+    b.page(B.text_content(lines, show=lambda x: b"<%s> Tj" % b"".join(b"%04x" % codes[c] for c in x)), b"/Font <</F1 %d 0 R>>" % font)
+    return b.build()
+
+
+def _differences_pdf(t: str) -> bytes:
+    """Letters under the codes of others, 13 places on, which the font's differences put right."""
+    b = B.Builder()
+    turned = b" ".join(b"%d %s" % (first, b" ".join(b"/%c" % (first + (i + 13) % 26) for i in range(26))) for first in (65, 97))
+    font = b.font(extra=b"/Encoding <</Type /Encoding /BaseEncoding /WinAnsiEncoding /Differences [%s]>>" % turned)
+    b.page(B.text_content(_split(t), show=lambda x: B.literal(rot13(x, "rot13")) + b" Tj"), b"/Font <</F1 %d 0 R>>" % font)
+    return b.build()
+
+
+def _spaced_pdf(t: str) -> bytes:
+    """Words without spaces between them, but numbers that move them apart."""
+    b = B.Builder()
+    font = b.font()
+    b.page(B.text_content(_split(t), show=lambda x: b"[" + b" -250 ".join(B.literal(w) for w in x.split(" ") if w) + b"] TJ"), b"/Font <</F1 %d 0 R>>" % font)
+    return b.build()
+
+
+def pdf_word_spacing(spark, sf):
+    docs = _decorated(spark, sf).withColumn("text", F.regexp_replace("text", " +", " "))
+    return decode.convert_documents(as_pdf(docs, "doc_id", "text", _spaced_pdf)).select("doc_id", "markdown")
+
+
+SQL_SPACING = f"""WITH {SQL_DECORATED}, squeezed AS (SELECT doc_id, regexp_replace(text, ' +', ' ', 'g') AS text FROM decorated), {_sql_lines("squeezed")}, {_sql_pages()}
+SELECT doc_id, {_QUOTES.format(_sql_title("coalesce(md, '')"))} AS markdown FROM decorated LEFT JOIN pages USING (doc_id)"""
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names, or for a local session without the setting a temporary one; it goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.toString()
+
+
+def folder_roundtrip(spark, sf):
+    """Files in a folder, some damaged, scanned and converted; the Markdown as files again. Damaged ones have none."""
+    folder = shared_folder(spark, "folder-roundtrip")
+    source = _documents(spark, sf).select("doc_id", F.struct("doc_id", "text").alias("v"))
+    pdfs = as_pdf(source, "doc_id", "v", lambda v: B.text_pdf([_split(v["text"])]) if v["doc_id"] % 5 else b"no document")
+    sinks.write_files(pdfs.select(F.concat("doc_id", F.lit(".pdf")).alias("name"), F.col("content").alias("data")), f"{folder}/in").count()
+    done = decode.convert_documents(files.read_folder(spark, f"{folder}/in"))
+    sinks.write_markdown(done, f"{folder}/out").count()
+    back = spark.read.text(f"{folder}/out", wholetext=True)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.md$", 1).cast("long")
+    return back.select(number.alias("doc_id"), F.col("value").alias("markdown"))
+
+
+SQL_FOLDER = SQL_PDF.replace(SQL_DECORATED, "decorated AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL)")
+
+
+def file_source(spark, sf):
+    """The same through the data source, which tells the damaged ones."""
+    folder = shared_folder(spark, "file-source")
+    source = _documents(spark, sf).select("doc_id", F.struct("doc_id", "text").alias("v"))
+    sinks.write_files(as_pdf(source, "doc_id", "v", _broken_pdf).select(F.concat("doc_id", F.lit(".PDF")).alias("name"), F.col("content").alias("data")), folder).count()
+    files.register(spark)
+    got = spark.read.format("pdf").load(folder)
+    return got.select(F.regexp_extract("path", r"([0-9]+)\.PDF$", 1).cast("long").alias("doc_id"), F.col("error.code").alias("code"), (F.col("markdown") == "\n").alias("blank"))
+
+
+def bytes_source(spark, sf):
+    """Byte strings converted in one call, in the order given."""
+    rows = _table(spark, sf, "nation").where("n_nationkey IS NOT NULL").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    done = api.convert_many(spark, [B.text_pdf([[r.n_name]]) for r in rows])
+    return spark.createDataFrame([(r.n_nationkey, d.markdown) for r, d in zip(rows, done)], "n_nationkey long, markdown string")
+
+
+SQL_BYTES = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, '## ' || n_name || chr(10) AS markdown FROM nation WHERE n_nationkey IS NOT NULL"
 
 
 def _table_pdf(ruled: bool):
@@ -657,6 +797,14 @@ _ALL: dict[str, tuple[Callable, str]] = {
     "asciihex_roundtrip": (asciihex_roundtrip, SQL_SAME),
     "predictor_roundtrip": (predictor_roundtrip, SQL_PADDED),
     "pdf_roundtrip_text": (_pdf_query(lambda t: B.text_pdf([_split(t)])), SQL_PDF),
+    "pdf_composite_fonts": (_pdf_query(_composite_pdf), SQL_TEXT_TO_MARKDOWN),
+    "pdf_encoding_differences": (_pdf_query(_differences_pdf), SQL_PDF),
+    "pdf_word_spacing": (pdf_word_spacing, SQL_SPACING),
+    "pdf_png_pixels": (pdf_png_pixels, SQL_PIXELS),
+    "flate_stored_roundtrip": (flate_stored_roundtrip, SQL_SAME),
+    "folder_roundtrip": (folder_roundtrip, SQL_FOLDER),
+    "file_source": (file_source, SQL_ERRORS),
+    "bytes_source": (bytes_source, SQL_BYTES),
     "pdf_objstm_roundtrip": (_pdf_query(lambda t: B.text_pdf([_split(t)], packed=True)), SQL_PDF),
     "pdf_forms_roundtrip": (_pdf_query(_form_pdf), SQL_PDF),
     "pdf_spans_formatted": (pdf_spans_formatted, SQL_PDF),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vellumine import schemas
+from vellumine.sources.storage import files_below, read_whole
 
 PDF_GLOB = "*.[pP][dD][fF]"
 USER_AGENT = "vellumine/0.1"
@@ -90,10 +91,7 @@ class _Reader(DataSourceReader):
         self.size = int(options.get("filesperpartition", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.folder):
-            found = [self.folder]
-        else:
-            found = sorted(os.path.join(self.folder, n) for n in os.listdir(self.folder) if n.lower().endswith(".pdf"))
+        found = files_below(self.folder, ".pdf")
         return [_Files(found[i : i + self.size]) for i in range(0, len(found), self.size)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -101,8 +99,7 @@ class _Reader(DataSourceReader):
         from vellumine.kernel.objects import PdfError
 
         for path in partition.paths:
-            with open(path, "rb") as f:
-                data = f.read()
+            data = read_whole(path)
             try:
                 markdown, files = convert(data, self.breaks, self.image_dir)
                 yield path, markdown, [(n, b) for n, b in files], None
@@ -113,7 +110,7 @@ class _Reader(DataSourceReader):
 
 
 class PdfDataSource(DataSource):
-    """``spark.read.format("pdf").load(folder)``: path, markdown, images, error. For folders that every executor sees as files; options pageBreaks, imageDir, mode, filesPerPartition."""
+    """``spark.read.format("pdf").load(folder)``: path, markdown, images, error. For folders by path or URI that every executor can read; options pageBreaks, imageDir, mode, filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -81,14 +82,14 @@ def literal(text: str) -> bytes:
     return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r").replace(b"\n", b"\\n") + b")"
 
 
-def text_content(lines: list[str], x: float = 50, y: float = 750, size: float = 12, leading: float = 14, blank: float = 24) -> bytes:
-    """Lines below each other; an empty line leaves a gap."""
+def text_content(lines: list[str], x: float = 50, y: float = 750, size: float = 12, leading: float = 14, blank: float = 24, show: Callable[[str], bytes] = lambda t: literal(t) + b" Tj") -> bytes:
+    """Lines below each other; an empty line leaves a gap. ``show`` gives the operator that writes a line."""
     out = [b"BT /F1 %g Tf" % size]
     for line in lines:
         if not line.strip():
             y -= blank
             continue
-        out.append(b"1 0 0 1 %g %g Tm %s Tj" % (x, y, literal(line)))
+        out.append(b"1 0 0 1 %g %g Tm %s" % (x, y, show(line)))
         y -= leading
     return b"\n".join([*out, b"ET"])
 
