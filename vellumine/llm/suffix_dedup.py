@@ -11,14 +11,16 @@ into the sample of positions whose remainder is in the cover.
    whose sample positions within a period is repeated is unique and isn't sorted.
 2. What is left are fragments of documents. Their suffixes are dealt to buckets
    by the name of their first words; a bucket is sorted by one task at a time.
-   The name has two halves: the first ``PERIOD`` words, which order the bucket,
-   and the words after them up to ``length``, which decide long ties. A name
+   The name has two parts: 16 bits for the first ``PERIOD`` words, which order
+   the bucket, and 48 for all ``length`` words, which decide long ties. A name
    takes eight bytes however long the tie is, which bounds the memory.
 3. Suffixes that still tie start a passage that occurs elsewhere; those of one
    document that overlap or touch make one span.
 
 Names are hashes of word sequences, taken from prefix sums, so the order is one
-of names; repeats depend on equality alone.
+of names and not of words; repeats depend on equality alone. Words aren't
+compared: of m different passages with the same first ``PERIOD`` words two get
+one name with a chance of about m * m / 2**49.
 """
 
 from __future__ import annotations
@@ -66,8 +68,8 @@ def _suffix_names(w: W.Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(W.inside(w.bounds, length))
     if not len(at):
         return at, np.empty(0, U)
-    head, rest = W.window_hashes(w.hashes, PERIOD)[at], W.window_hashes(w.hashes, length - PERIOD)[at + PERIOD]
-    return at, (head & U(0xFFFFFFFF00000000)) | (W.mix(rest) >> U(32))
+    head, whole = W.window_hashes(w.hashes, PERIOD)[at], W.window_hashes(w.hashes, length)[at]
+    return at, (head & U(0xFFFF << 48)) | (W.mix(whole) >> U(16))
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> W.Words:
@@ -174,7 +176,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Columns doc_id, start_word, n_words, least_copies, most_copies: over the
     ``length``-word windows of the span that are repeated, how often the rarest
     and the most frequent one occurs. Repeated windows that overlap or touch
-    make one span. Occurrences inside one document count. Words are runs of
+    make one span. Occurrences inside one document count, so a document that
+    only repeats itself has spans too. Words are runs of
     other than ASCII white space, in lower case.
 
     ``length`` is more than ``PERIOD``. Null, empty and short texts have no
