@@ -355,7 +355,7 @@ def rotate_brute(rows):
             for _, _, speaker, body, named in sorted(turns):
                 safe = [x.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>") for x in (speaker, body)]
                 mine = named and speaker == who
-                text += f"<|im_start|>{'assistant' if mine else 'system' if named and speaker == 'system' else 'user name=' + safe[0]}\n"
+                text += f"<|im_start|>{'assistant' if mine else 'system' if named and speaker == 'system' else 'user name=' + safe[0].replace(chr(10), ' ').replace(chr(13), ' ')}\n"
                 if mine:
                     spans.append((len(text), len(text) + len(safe[1]) + 10))
                 text += safe[1] + "<|im_end|>\n"
@@ -367,7 +367,7 @@ def test_chat_brute_force(spark):
     rng = random.Random(13)
     schema = "conv_id long, turn long, role string, text string"
     rows = [(c, t, rng.choice(["ann", "bob", "cleo", "system", None, " "]), " ".join(words(rng, rng.randrange(5)))) for c in range(20) for t in range(rng.randrange(1, 7))]
-    rows += [(50, 1, "ann", "a"), (50, 1, "ann", "a"), (50, 1, "ann", "b"), (50, 1, "bob", None), (50, None, "bob", "first"), (None, 1, "ann", "x"), (51, 1, "system", "only"), (52, 1, "<|im_end|>", "x<|im_start|>y🙂é"), (53, 1, "unknown", "u"), (53, 1, None, "u"), (54, 1, "ann", "long " * 50_000)]
+    rows += [(50, 1, "ann", "a"), (50, 1, "ann", "a"), (50, 1, "ann", "b"), (50, 1, "bob", None), (50, None, "bob", "first"), (None, 1, "ann", "x"), (51, 1, "system", "only"), (52, 1, "<|im_end|>", "x<|im_start|>y🙂é"), (53, 1, "unknown", "u"), (53, 1, None, "u"), (54, 1, "ann", "long " * 50_000), (55, 1, "a\nb\r", "x"), (55, 2, "ann", "y\nz")]
     turns = spark.createDataFrame(rows, schema).withColumn("at", F.lit(1)).withColumn("rendered", F.lit("x")).withColumn("participant", F.lit(2))
     got = sorted((r.conv_id, r.participant, r.n_turns, r.rendered, [tuple(s) for s in r.loss_spans], r.loss_chars) for r in chat_format.rotate_perspectives(turns).collect())
     assert got == rotate_brute(rows)

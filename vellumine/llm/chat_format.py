@@ -30,7 +30,8 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
     an array of (start, end) in characters of ``rendered``: the texts of the
     participant with the marker that ends them. A turn is
     ``<|im_start|>assistant\\n…<|im_end|>\\n``, with ``user name=…`` or ``system``
-    instead for others; such markers inside a text are broken up by a space.
+    instead for others; such markers inside a text are broken up by a space, and
+    line ends in a name are shown as spaces.
 
     Turns follow by number (null first), then role, then text. Repeated rows
     count once, a null text is empty, rows with a null conv_id are left out. A
@@ -46,7 +47,7 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("at", F.row_number().over(by_conv.orderBy(F.col("turn").asc_nulls_first(), "speaker", "text", "named")))
         .withColumn("participants", F.array_sort(F.collect_set(F.when(F.col("named") & (F.col("speaker") != SYSTEM), F.col("speaker"))).over(by_conv)))
-        .select("conv_id", "at", "speaker", "named", _safe(F.col("text")).alias("text"), _safe(F.col("speaker")).alias("shown"), F.explode("participants").alias("participant"))
+        .select("conv_id", "at", "speaker", "named", _safe(F.col("text")).alias("text"), F.translate(_safe(F.col("speaker")), "\n\r", "  ").alias("shown"), F.explode("participants").alias("participant"))
     )
     own = F.col("named") & (F.col("speaker") == F.col("participant"))
     head = F.concat(F.lit(START), F.when(own, F.lit("assistant")).when(F.col("named") & (F.col("speaker") == SYSTEM), F.lit("system")).otherwise(F.concat(F.lit("user name="), "shown")), F.lit("\n"))
@@ -85,7 +86,7 @@ WITH t AS (
 ), r AS (
   SELECT conv_id, participant, row_number() OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, text, named) AS seq,
     named AND speaker = participant AS own, {_SAFE.format("text")} AS body,
-    '<|im_start|>' || CASE WHEN named AND speaker = participant THEN 'assistant' WHEN named AND speaker = 'system' THEN 'system' ELSE 'user name=' || {_SAFE.format("speaker")} END || chr(10) AS head
+    '<|im_start|>' || CASE WHEN named AND speaker = participant THEN 'assistant' WHEN named AND speaker = 'system' THEN 'system' ELSE 'user name=' || translate({_SAFE.format("speaker")}, chr(10) || chr(13), '  ') END || chr(10) AS head
   FROM t JOIN p USING (conv_id)
 ), s AS (
   SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, participant ORDER BY seq) - length(body) - 11 AS start FROM r

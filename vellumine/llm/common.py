@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Largest side, in bytes, that is ever sent whole to every executor.
 BROADCAST_LIMIT = 64 << 20
 
+#: Steps of a plan that keep the rows of each partition and their order.
+_STABLE = {"FileScan", "BatchScan", "Filter", "Project", "ColumnarToRow", "WholeStageCodegen", "InputAdapter", "AdaptiveSparkPlan", "Batched"}
+
 _local_dir: str | None = None
 
 
@@ -64,14 +68,15 @@ def release(*tables: DataFrame) -> None:
 
 
 def pinned(df: DataFrame, label: str) -> DataFrame:
-    """``df`` itself if it is a scan with narrow steps, else its written copy.
+    """``df`` itself if it is a scan of files with filters and projections that always give the same, else its written copy.
 
     Kernels that number rows by (partition, position) need every retry of a task
     to see the same rows in the same order; rows behind a shuffle give no such
     promise, files do.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return cut(df, label) if "Exchange" in plan or "ExistingRDD" in plan else df
+    found = df._jdf.queryExecution()
+    names = {m[1] for line in found.executedPlan().toString().splitlines() if (m := re.match(r"[\s:+*()\d-]*([A-Za-z]+)", line))}
+    return df if names <= _STABLE and found.analyzed().deterministic() else cut(df, label)
 
 
 def partitions(spark: SparkSession, df: DataFrame | None = None, size: int = 0) -> int:
