@@ -63,7 +63,11 @@ def convert_file(path: str | os.PathLike, *, page_breaks: bool = False, image_di
 
 
 def convert_many(spark: SparkSession, sources: Sequence, *, page_breaks: bool = False, image_dir: str | None = None, workers: int | None = None) -> list[ConvertResult]:
-    """Paths and byte strings, converted by the executors, results in order of ``sources``; the first failure is raised."""
+    """Paths and byte strings, converted by the executors, results in order of ``sources``; the first failure is raised.
+
+    The list of results is held by the driver, Markdown and images of all sources
+    together; for more than it can hold use ``convert_files`` or ``convert_folder``.
+    """
     if workers is not None and workers < 1:
         raise ValueError("workers must be at least 1")
     if not sources:
