@@ -281,3 +281,26 @@ def test_many_lines_of_one_text(spark):
     assert page.count("some words, ") == n and "\n" not in page
     lines = layout.visual_lines(layout.text_layout(docs, ["doc_id"]), ["doc_id"])
     assert lines.agg(F.count("*"), F.max("line")).first()[:] == (n, n - 1)
+
+
+def test_folders_are_listed_by_the_executors(spark, tmp_path):
+    """Neither a list on the driver nor a task for a few small files, whatever their number."""
+    for n in range(300):
+        own = tmp_path / "in" / str(n // 10) / ("deep" if n % 2 else ".")
+        own.mkdir(parents=True, exist_ok=True)
+        (own / f"{n}.pdf").write_bytes(GOOD if n % 3 else b"junk")
+    (tmp_path / "in" / "top.PDF").write_bytes(GOOD)
+    (tmp_path / "in" / "0" / "_hidden.pdf").write_bytes(GOOD)
+    (tmp_path / "in" / "0" / "note.txt").write_bytes(b"no")
+    folder = str(tmp_path / "in")
+    found = files.read_folder(spark, folder, recursive=True)
+    assert "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.stem for r in found.select("stem").collect()) == sorted([*map(str, range(300)), "top"])
+    flat, jvm = files.read_folder(spark, folder), files.read_files(spark, folder, files.PDF_GLOB)
+    assert flat.drop("stem").schema == jvm.schema or [f.dataType for f in flat.drop("stem").schema] == [f.dataType for f in jvm.schema]
+    assert [(r.path, r.length, bytes(r.content)) for r in flat.collect()] == [(r.path, r.length, bytes(r.content)) for r in jvm.collect()]
+    files.register(spark)
+    got = spark.read.format("pdf").option("recursiveFileLookup", "true").load(folder)
+    assert got.rdd.getNumPartitions() == 31
+    assert sorted((r.path.rpartition("/")[2], r.error is None) for r in got.collect()) == sorted([("top.PDF", True), *((f"{n}.pdf", n % 3 != 0) for n in range(300))])
+    assert spark.read.format("pdf").load(folder).count() == 1

@@ -22,6 +22,7 @@ from vellumine.operators import decode, layout, text
 from vellumine.plans import api
 from vellumine.plans.metrics import token_quality
 from vellumine.sources import files, sinks
+from vellumine.sources.storage import make_folder
 from vellumine.testing import pdf_builder as B
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -437,12 +438,17 @@ SQL_PADDED = "SELECT doc_id, hex(encode(text)) || repeat('20', (16 - strlen(text
 # ------------------------------------------------------------------ whole files
 
 
-#: Bytes up to which the files are made by all cores whatever the partitions of the source.
-SMALL = 256 << 20
+#: Bytes of the source, as the plan estimates them, that one task makes files of.
+PART = 2 << 20
 
 
 def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes]) -> DataFrame:
-    """(key, content) of a file that ``build`` makes from each value of ``source``; a small table, which may lie in one row group, is first dealt to all cores."""
+    """(key, content) of a file that ``build`` makes from each value of ``source``.
+
+    Rows are dealt to all cores and to tasks of some megabytes, whatever the
+    partitions of the source: a row group is one task otherwise, and its rows
+    fill the largest batches that Arrow makes of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,8 +458,8 @@ def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], names=[key, "content"])
 
     df = df.select(key, source)
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 100_000)))
     return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
 
 
@@ -640,17 +646,26 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return place.toString()
 
 
+#: Files in one folder: in larger ones each new name takes longer on some file systems.
+FOLDER_FILES = 1000
+
+
+def _placed(ending: str) -> Column:
+    """A document's file, in a folder for a range of ids."""
+    return F.concat(F.floor(F.col("doc_id") / FOLDER_FILES).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(ending))
+
+
 def folder_roundtrip(spark, sf):
     """Files in a folder, some damaged, scanned and converted; the Markdown as files again. Damaged ones have none."""
     folder = shared_folder(spark, "folder-roundtrip")
     source = _documents(spark, sf).select("doc_id", F.struct("doc_id", "text").alias("v"))
     pdfs = as_pdf(source, "doc_id", "v", lambda v: B.text_pdf([_split(v["text"])]) if v["doc_id"] % 5 else b"no document")
-    sinks.write_files(pdfs.select(F.concat("doc_id", F.lit(".pdf")).alias("name"), F.col("content").alias("data")), f"{folder}/in").count()
-    done = decode.convert_documents(files.read_folder(spark, f"{folder}/in"))
-    sinks.write_markdown(done, f"{folder}/out").count()
-    back = spark.read.text(f"{folder}/out", wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.md$", 1).cast("long")
-    return back.select(number.alias("doc_id"), F.col("value").alias("markdown"))
+    make_folder(f"{folder}/in")
+    sinks.write_files(pdfs.select(_placed(".pdf").alias("name"), F.col("content").alias("data")), f"{folder}/in").count()
+    done = decode.convert_documents(files.read_folder(spark, f"{folder}/in", recursive=True))
+    sinks.write_markdown(done.withColumn("name", F.regexp_extract("path", r"([^/]*/[^/]*)\.pdf$", 1)), f"{folder}/out", "name").count()
+    back = files.read_listed(files.list_folder(spark, f"{folder}/out", ".md", recursive=True))
+    return back.select(F.regexp_extract("path", r"/(-?\d+)\.md$", 1).cast("long").alias("doc_id"), F.decode("content", "UTF-8").alias("markdown"))
 
 
 SQL_FOLDER = SQL_PDF.replace(SQL_DECORATED, "decorated AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL)")
@@ -660,10 +675,11 @@ def file_source(spark, sf):
     """The same through the data source, which tells the damaged ones."""
     folder = shared_folder(spark, "file-source")
     source = _documents(spark, sf).select("doc_id", F.struct("doc_id", "text").alias("v"))
-    sinks.write_files(as_pdf(source, "doc_id", "v", _broken_pdf).select(F.concat("doc_id", F.lit(".PDF")).alias("name"), F.col("content").alias("data")), folder).count()
+    make_folder(folder)
+    sinks.write_files(as_pdf(source, "doc_id", "v", _broken_pdf).select(_placed(".PDF").alias("name"), F.col("content").alias("data")), folder).count()
     files.register(spark)
-    got = spark.read.format("pdf").load(folder)
-    return got.select(F.regexp_extract("path", r"([0-9]+)\.PDF$", 1).cast("long").alias("doc_id"), F.col("error.code").alias("code"), (F.col("markdown") == "\n").alias("blank"))
+    got = spark.read.format("pdf").option("recursiveFileLookup", "true").load(folder)
+    return got.select(F.regexp_extract("path", r"/(-?[0-9]+)\.PDF$", 1).cast("long").alias("doc_id"), F.col("error.code").alias("code"), (F.col("markdown") == "\n").alias("blank"))
 
 
 def bytes_source(spark, sf):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import sys
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timezone
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
@@ -13,13 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumine import schemas
-from vellumine.sources.storage import files_below, read_whole
+from vellumine.sources.storage import entries, files_below, is_folder, locate, read_whole, walk
 
 PDF_GLOB = "*.[pP][dD][fF]"
 USER_AGENT = "vellumine/0.1"
 TIMEOUT = 120
+#: Bytes of files or results that are held before they are passed on.
+FLUSH = 4 << 20
+#: Tasks that the data source makes at most, unless ``filesPerPartition`` says otherwise.
+MOST_TASKS = 4096
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -28,9 +35,74 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The PDF files of a folder, with ``stem``, their names without the ending."""
-    return read_files(spark, path, PDF_GLOB).withColumn("stem", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
+def list_folder(spark: SparkSession, folder: str, ending: str, recursive: bool = False) -> DataFrame:
+    """(path) of the files of a folder whose names end so in any case, dealt to tasks.
+
+    The driver holds no list: one task lists the folder, and with ``recursive``
+    many list the folders in it.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # qualified as the JVM's sources do it
+    root = ("file:" + locate(folder)[1] if locate(folder)[0].type_name == "local" else folder).rstrip("/")
+
+    def batched(rows: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[str, bool]] = []
+        for row in rows:
+            out.append(row)
+            if len(out) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.bool_()))], names=["path", "deep"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.bool_()))], names=["path", "deep"])
+
+    def top(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched((f"{root}/{n}", deep) for n, deep in entries(root) if (recursive if deep else n.lower().endswith(ending)))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield from batched((p, False) for path, deep in rows for p in (walk(path) if deep else [path]) if p.lower().endswith(ending))
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(top, "path string, deep boolean")
+    if recursive:
+        found = found.repartition(parts).mapInArrow(below, "path string, deep boolean")
+    return found.select("path").repartition(parts)
+
+
+def read_listed(listed: DataFrame) -> DataFrame:
+    """(path, modificationTime, length, content) of the files at ``path``, as ``read_files`` gives them, some megabytes at a time."""
+    kinds = {"path": pa.string(), "modificationTime": pa.timestamp("us", tz="UTC"), "length": pa.int64(), "content": pa.binary()}
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=[*kinds])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                own, place = locate(path)
+                data, time = read_whole(path), own.get_file_info(place).mtime
+                rows.append((path, time or datetime.fromtimestamp(0, timezone.utc), len(data), data))
+                size += len(data)
+                if size >= FLUSH or len(rows) >= 1000:
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
+
+    return listed.select("path").mapInArrow(load, "path string, modificationTime timestamp, length bigint, content binary")
+
+
+def read_folder(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """The PDF files of a folder, with ``stem``, their names without the ending.
+
+    A folder is listed and read by the executors; the JVM's source, which lists on
+    the driver and makes a task for a few small files, reads what isn't a folder
+    and what Arrow has no file system for.
+    """
+    plain = not re.search(r"[*?\[{]", path) and is_folder(path)
+    found = read_listed(list_folder(spark, path, ".pdf", recursive)) if plain else read_files(spark, path, PDF_GLOB, recursive)
+    return found.withColumn("stem", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
 
 
 def is_url(source: str) -> bool:
@@ -78,39 +150,57 @@ def from_sources(spark: SparkSession, sources: Sequence[str | os.PathLike | byte
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    """Files, and folders that the task lists."""
+
+    def __init__(self, paths: list[str], folders: list[str]) -> None:
+        self.paths, self.folders = paths, folders
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
+    def __init__(self, options: dict[str, str], kinds: pa.Schema) -> None:
+        self.kinds = kinds
         self.folder = options.get("path", "")
         self.breaks = options.get("pagebreaks", "false").lower() == "true"
         self.image_dir = options.get("imagedir")
         self.mode = options.get("mode", "PERMISSIVE").upper()
-        self.size = int(options.get("filesperpartition", "64"))
+        self.size = int(options.get("filesperpartition", "0"))
+        self.recursive = options.get("recursivefilelookup", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         found = files_below(self.folder, ".pdf")
-        return [_Files(found[i : i + self.size]) for i in range(0, len(found), self.size)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
+        size = self.size or max(64, -(-len(found) // MOST_TASKS))
+        out = [_Files(found[i : i + size], []) for i in range(0, len(found), size)]
+        if self.recursive and is_folder(self.folder):
+            deep = sorted(f"{self.folder.rstrip('/')}/{n}" for n, d in entries(self.folder) if d)
+            step = -(-len(deep) // MOST_TASKS) or 1
+            out += [_Files([], deep[i : i + step]) for i in range(0, len(deep), step)]
+        return out or [_Files([], [])]
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         from vellumine.kernel.convert import convert
         from vellumine.kernel.objects import PdfError
 
-        for path in partition.paths:
+        rows, size = [], 0
+        below = (p for f in partition.folders for p in walk(f) if p.lower().endswith(".pdf"))
+        for path in (p for own in (partition.paths, below) for p in own):
             data = read_whole(path)
             try:
                 markdown, files = convert(data, self.breaks, self.image_dir)
-                yield path, markdown, [(n, b) for n, b in files], None
+                rows.append({"path": path, "markdown": markdown, "images": [{"filename": n, "bytes": b} for n, b in files]})
             except PdfError as e:
                 if self.mode == "FAILFAST":
                     raise
-                yield path, None, None, (e.code, str(e))
+                rows.append({"path": path, "error": {"code": e.code, "message": str(e)}})
+            size += len(data)
+            if size >= FLUSH or len(rows) >= 1000:
+                yield pa.RecordBatch.from_pylist(rows, schema=self.kinds)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=self.kinds)
 
 
 class PdfDataSource(DataSource):
-    """``spark.read.format("pdf").load(folder)``: path, markdown, images, error. For folders by path or URI that every executor can read; options pageBreaks, imageDir, mode, filesPerPartition."""
+    """``spark.read.format("pdf").load(folder)``: path, markdown, images, error. For folders by path or URI that every executor can read; options pageBreaks, imageDir, mode, filesPerPartition, recursiveFileLookup (a task for some of the folders in it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,7 +210,7 @@ class PdfDataSource(DataSource):
         return f"path string, {schemas.RESULT}"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader({k.lower(): v for k, v in self.options.items()})
+        return _Reader({k.lower(): v for k, v in self.options.items()}, to_arrow_schema(schema))
 
 
 def register(spark: SparkSession) -> None:

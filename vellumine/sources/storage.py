@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 from pyarrow import fs
 
 #: Names that the JVM's connectors give what Arrow knows by another.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+_KNOWN = {"", "file", "s3", "gs", "hdfs", *_SCHEMES}
 
 
 def locate(place: str) -> tuple[fs.FileSystem, str]:
@@ -22,6 +24,38 @@ def locate(place: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + place[len(scheme) :])
 
 
+def is_folder(place: str) -> bool:
+    """Whether this is the path or URI of a folder, in a file system that Arrow knows."""
+    if urlsplit(place).scheme not in _KNOWN:
+        return False
+    own, path = locate(place)
+    return own.get_file_info(path).type == fs.FileType.Directory
+
+
+def entries(place: str) -> Iterator[tuple[str, bool]]:
+    """What a folder holds, as it comes: (name, whether it is a folder). Names that start with ``.`` or ``_`` are hidden."""
+    own, path = locate(place)
+    if own.type_name == "local":
+        with os.scandir(path) as found:
+            for e in found:
+                if e.name[0] not in "._" and ((deep := e.is_dir()) or e.is_file()):
+                    yield e.name, deep
+        return
+    for i in own.get_file_info(fs.FileSelector(path)):
+        if i.base_name[0] not in "._":
+            yield i.base_name, i.type == fs.FileType.Directory
+
+
+def walk(place: str) -> Iterator[str]:
+    """The files of a folder and of those in it, by path or URI as ``place`` is."""
+    for name, deep in entries(place):
+        own = f"{place.rstrip('/')}/{name}"
+        if deep:
+            yield from walk(own)
+        else:
+            yield own
+
+
 def make_folder(place: str) -> None:
     own, path = locate(place)
     own.create_dir(path, recursive=True)
