@@ -304,3 +304,13 @@ def test_folders_are_listed_by_the_executors(spark, tmp_path):
     assert got.rdd.getNumPartitions() == 31
     assert sorted((r.path.rpartition("/")[2], r.error is None) for r in got.collect()) == sorted([("top.PDF", True), *((f"{n}.pdf", n % 3 != 0) for n in range(300))])
     assert spark.read.format("pdf").load(folder).count() == 1
+
+
+def test_rows_are_dealt_to_tasks_of_some_megabytes(spark):
+    """A large table gives more tasks, not larger ones, and no batch of Arrow's largest size."""
+    from vellumine.plans.queries import PART, as_pdf, dealt, predictor_roundtrip
+
+    rows = spark.range(4_000_000)
+    assert dealt(rows).rdd.getNumPartitions() == -(-8 * 4_000_000 // PART) and dealt(spark.range(3)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert as_pdf(rows.withColumn("t", F.lit(1)), "id", "t", lambda _: b"").rdd.getNumPartitions() > 16
+    assert "RoundRobinPartitioning" in predictor_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

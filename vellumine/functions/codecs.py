@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,18 +12,28 @@ from vellumine.kernel import filters, inflate
 from vellumine.kernel.objects import PdfError
 
 
+#: Values that are decoded before they go into an array.
+SLICE = 200
+
+
+def mapped(fn: Callable[[object], bytes | None], values: pa.Array) -> pa.Array:
+    """``fn`` of each value, null for null; few values at a time are Python's, the rest stays in Arrow."""
+    parts = [pa.array([None if x is None else fn(x) for x in values.slice(lo, SLICE).to_pylist()], pa.binary()) for lo in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def _each(fn: Callable[[bytes], bytes]):
     """A vectorised function of a binary column; null for null, and for what can't be decoded."""
 
     def one(x):
         try:
-            return None if x is None else fn(bytes(x))
+            return fn(x)
         except PdfError:
             return None
 
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(one)
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return mapped(one, values)
 
     return run
 

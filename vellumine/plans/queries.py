@@ -378,9 +378,9 @@ SELECT *, CASE WHEN expected > 0 THEN common / expected END AS recall, CASE WHEN
 
 
 def _encoded(df: DataFrame, fn: Callable[[bytes], bytes], column: str = "text") -> Column:
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else fn(t.encode()))
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return codecs.mapped(lambda t: fn(t.encode()), values)
 
     return run(column)
 
@@ -389,19 +389,34 @@ def _with_tags(raw: bytes, width: int = 16) -> bytes:
     """Rows of ``width`` bytes, predicted in turn by each of the five ways."""
     raw += b" " * (-len(raw) % width)
     rows = np.frombuffer(raw, np.uint8).reshape(-1, width).astype(np.int16)
+    up, left, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+    up[1:], left[:, 1:] = rows[:-1], rows[:, :-1]
+    corner[1:, 1:] = rows[:-1, :-1]
+    guess = left + up - corner
+    a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
+    nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+    tags = np.arange(len(rows)) % 5
     out = np.zeros((len(rows), width + 1), np.uint8)
-    for i, row in enumerate(rows):
-        tag = i % 5
-        up = rows[i - 1] if i else np.zeros(width, np.int16)
-        left, corner = np.concatenate([[0], row[:-1]]), np.concatenate([[0], up[:-1]])
-        guess = left + up - corner
-        a, b, c = abs(guess - left), abs(guess - up), abs(guess - corner)
-        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-        out[i, 0] = tag
-        out[i, 1:] = (row - (0, left, up, (left + up) // 2, nearest)[tag]) & 255
+    out[:, 0] = tags
+    for tag, by in enumerate((np.zeros_like(rows), left, up, (left + up) // 2, nearest)):
+        out[tag::5, 1:] = (rows[tag::5] - by[tag::5]) & 255
     return out.tobytes()
 
 
+#: Bytes of the source, as the plan estimates them, that one task makes files of.
+PART = 2 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows for all cores and for tasks of some megabytes, whatever the partitions of the source.
+
+    A row group is one task otherwise, and its rows fill the largest batches that
+    Arrow makes of them.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 100_000)))
+
+
 def _documents(spark, sf):
     return _table(spark, sf, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
 
@@ -427,7 +442,7 @@ def asciihex_roundtrip(spark, sf):
 
 
 def predictor_roundtrip(spark, sf):
-    docs = _documents(spark, sf)
+    docs = dealt(_documents(spark, sf))
     return docs.select("doc_id", F.hex(codecs.unpredict(_encoded(docs, _with_tags), 16)).alias("bytes"))
 
 
@@ -438,16 +453,10 @@ SQL_PADDED = "SELECT doc_id, hex(encode(text)) || repeat('20', (16 - strlen(text
 # ------------------------------------------------------------------ whole files
 
 
-#: Bytes of the source, as the plan estimates them, that one task makes files of.
-PART = 2 << 20
-
-
 def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes]) -> DataFrame:
     """(key, content) of a file that ``build`` makes from each value of ``source``.
 
-    Rows are dealt to all cores and to tasks of some megabytes, whatever the
-    partitions of the source: a row group is one task otherwise, and its rows
-    fill the largest batches that Arrow makes of them.
+    The rows are ``dealt`` first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,9 +466,7 @@ def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes
                 files = [build(v) for v in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], names=[key, "content"])
 
-    df = df.select(key, source)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 100_000)))
+    df = dealt(df.select(key, source))
     return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
 
 
