@@ -314,3 +314,15 @@ def test_rows_are_dealt_to_tasks_of_some_megabytes(spark):
     assert dealt(rows).rdd.getNumPartitions() == -(-8 * 4_000_000 // PART) and dealt(spark.range(3)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert as_pdf(rows.withColumn("t", F.lit(1)), "id", "t", lambda _: b"").rdd.getNumPartitions() > 16
     assert "RoundRobinPartitioning" in predictor_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_visual_lines_grow_in_number(spark, tmp_path):
+    """A task sorts some megabytes of spans, however many there are; a plan without an estimate has the usual parts."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(6_000_000)
+    assert layout.parted(rows, ["id"]).rdd.getNumPartitions() == -(-8 * 6_000_000 // layout.PART) > usual
+    unknown = spark.sparkContext.parallelize([(1,)]).toDF("id long")
+    assert layout.estimated(unknown) is None and layout.parted(unknown, ["id"]).rdd.getNumPartitions() == usual
+    spans = rows.select(F.col("id").alias("k"), F.lit(0).alias("seq"), *(F.lit(1.0).cast("float").alias(c) for c in ("x", "y", "font_size")), F.lit("t").alias("text"), F.lit("text").alias("kind"), F.lit(False).alias("space_before"))
+    plan = layout.visual_lines(spans, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1

@@ -19,6 +19,20 @@ from vellumine.kernel.content import Span
 BINS = 24
 #: Height of the band at the top or bottom of a page, and how near a span must be to a dropped line.
 BAND, NEAR = 6.0, 2.0
+#: Bytes of spans, as the plan estimates them from compressed files, that one task sorts; no estimate goes beyond the second.
+PART, UNKNOWN = 4 << 20, 1 << 50
+
+
+def estimated(df: DataFrame) -> int | None:
+    """Bytes of a table by its plan; None if the plan doesn't know."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size if size < UNKNOWN else None
+
+
+def parted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` in parts that grow in number, not in size; what Spark would join to larger ones stays apart."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(-(-(estimated(df) or 0) // PART), 100_000)), *keys)
 
 
 def text_layout(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -73,6 +87,7 @@ def visual_lines(spans: DataFrame, keys: list[str]) -> DataFrame:
     A span that isn't near the one above it starts a line in any case; only what
     lies between two such is folded span by span.
     """
+    spans = parted(spans, keys)
     # order inside a line: by x, then as the lines were read, from the top
     fields = ["x", "down", "seq", "y", "font_size", "text", "kind", "space_before"]
     near = F.greatest((F.col("font_size") * F.lit(0.45).cast("float")).cast("float"), F.lit(2.0).cast("float"))

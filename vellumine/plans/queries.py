@@ -413,7 +413,7 @@ def dealt(df: DataFrame) -> DataFrame:
     A row group is one task otherwise, and its rows fill the largest batches that
     Arrow makes of them.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = layout.estimated(df) or 0
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), 100_000)))
 
 
