@@ -326,3 +326,16 @@ def test_parts_of_visual_lines_grow_in_number(spark, tmp_path):
     spans = rows.select(F.col("id").alias("k"), F.lit(0).alias("seq"), *(F.lit(1.0).cast("float").alias(c) for c in ("x", "y", "font_size")), F.lit("t").alias("text"), F.lit("text").alias("kind"), F.lit(False).alias("space_before"))
     plan = layout.visual_lines(spans, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_codecs_hold_few_values_at_a_time():
+    """What Python holds of a batch is bounded, whatever the batch; nulls and empty batches stay."""
+    import pyarrow as pa
+
+    from vellumine.functions import codecs
+
+    n = 2 * codecs.SLICE + 7
+    values = pa.array([None if i % 5 == 0 else str(i) for i in range(n)], pa.string())
+    got = codecs.mapped(str.encode, values)
+    assert got.type == pa.binary() and got.to_pylist() == [None if i % 5 == 0 else str(i).encode() for i in range(n)]
+    assert codecs.mapped(str.encode, values.slice(0, 0)).to_pylist() == []
