@@ -497,3 +497,47 @@ def test_texts_of_fonts():
     assert font.text(bytes(range(250, 256))) == "xx\u00e9z"
     font.table, font.width, font.map = None, 2, CMap(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 3 beginbfchar <0001> <0041> <0102> <00660069> <0003> <0043> endbfchar")
     assert font.text(b"\0\1\1\2\7\7\3") == "AfiC"
+
+
+def test_usual_entries_are_read_in_one_go(monkeypatch):
+    """Dictionaries, heads of objects and of object streams that are read in one go are the same piece by piece."""
+    from vellumine.kernel import document, objects
+    from vellumine.testing.pdf_builder import text_pdf
+
+    never = __import__("re").compile(rb"(?!)")
+    parts = [b"/A", b"/B#41", b"/Type/Page", b"1", b"12 0 R", b"12  3\tR", b"1234567890 0 R", b"120 R", b"7 99999 R", b"12 0 Rx", b"-1", b"+2", b"1.5", b"[0 0 612 792]", b"[ 1 2 ]", b"[]", b"[1 0 R]", b"[1 2 0 R 3]", b"<</K 1>>", b"(s)", b"<41>", b"true", b"null", b"% c\n", b" ", b"\n", b"\0", b">>", b"]", b"12 0 R/X", b"/N 007", b"9999999999999999999"]
+    rng = random.Random(5)
+    bodies = [b"<<" + b"".join(rng.choice([b"", b" "]) + rng.choice(parts) for _ in range(rng.randrange(1, 7))) + b">>" for _ in range(6000)]
+    bodies += [b"<</A 1 /B 2 0 R /C /D /E [1 2]>>", b"<<" + b"/A 1" * 5000 + b">>", b"<<" + b"/A " * 1 + b"[" * 300 + b"]" * 300 + b">>", b"<</A " * 256 + b"[1]" + b">>" * 256, b"<</A " * 255 + b"[1]" + b">>" * 255]
+    bodies += [h + b"<</A 1>>" for h in (b"1 0 obj", b"1 0obj", b" 1\t0 obj", b"1 % c\n0 obj", b"9999999999 0 obj", b"1 123456 obj", b"1 70000 obj")]
+
+    def read(body):
+        try:
+            p = objects.Parser(body)
+            value = p.value() if body.startswith(b"<") else p.indirect()
+            return value, repr(value), p.pos
+        except PdfError as e:
+            return e.code
+
+    got = [read(b) for b in bodies]
+    calls, value = [], objects.Parser.value
+    monkeypatch.setattr(objects.Parser, "value", lambda self: (calls.append(1), value(self))[1])
+    files = [text_pdf([["a", "b"], ["c"]], packed=p) for p in (True, False)]
+    docs = [document.Document(f) for f in files]
+    few = len(calls)
+    monkeypatch.setattr(objects, "_USUAL_ENTRY", never)
+    monkeypatch.setattr(objects, "_USUAL_START", never)
+    monkeypatch.setattr(document, "_USUAL_HEADS", never)
+    assert got == [read(b) for b in bodies]
+    calls.clear()
+    for own, f in zip(docs, files):
+        again = document.Document(f)
+        assert (own.objects, own.pages, own.trailer) == (again.objects, again.pages, again.trailer)
+    assert 2 * few < len(calls)
+
+
+def test_numerals_in_single_precision():
+    from vellumine.kernel.objects import f32, f32_of
+
+    for x in ([], [b"1", b"-.5", b"0.1"], [b"1" * 60, b"2"], [b"%d.3" % i for i in range(12)]):
+        assert f32_of(x) == [f32(float(v)) for v in x]
