@@ -339,3 +339,14 @@ def test_codecs_hold_few_values_at_a_time():
     got = codecs.mapped(str.encode, values)
     assert got.type == pa.binary() and got.to_pylist() == [None if i % 5 == 0 else str(i).encode() for i in range(n)]
     assert codecs.mapped(str.encode, values.slice(0, 0)).to_pylist() == []
+
+
+def test_spans_are_read_few_documents_at_a_time(spark, monkeypatch):
+    """What Python holds of a table of spans is bounded, whatever the batch; fields are read column by column."""
+    rows = [(d, 0, s, f"t{s}", 50.0, 700.0 - 14 * s, 9.0, 12.0, 12.0, None, True, False, None, 3 if s else None, None) for d in range(2 * layout.SLICE + 7) for s in range(2)]
+    table = spark.createDataFrame(rows, SPANS).coalesce(1)
+    fields = ["page_idx", "seq", *(c for c in table.columns if c not in ("doc_id", "page_idx", "seq"))]
+    lists = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("spans")).toArrow().column("spans").combine_chunks()
+    want = [[(s["page_idx"], s["text"] or "", s["y"], bool(s["bold"]), bool(s["italic"]), s["kind"] == "image", s["mcid"], bool(s["space_before"])) for s in own] for own in lists.slice(5, 9).to_pylist()]
+    assert [[(p, s.text, s.y, s.bold, s.italic, s.image, s.mcid, s.space) for p, s in own] for own in layout.spans_of(lists.slice(5, 9))] == want
+    assert layout.format_spans(table).count() == 2 * layout.SLICE + 7

@@ -7,6 +7,7 @@ groups over a page's keys can use one partitioning by the document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,10 @@ BAND, NEAR = 6.0, 2.0
 PART, UNKNOWN = 4 << 20, 1 << 50
 
 
+#: Documents whose spans Python holds at a time.
+SLICE = 200
+
+
 def estimated(df: DataFrame) -> int | None:
     """Bytes of a table by its plan; None if the plan doesn't know."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -199,6 +204,17 @@ def number_images(df: DataFrame, doc: list[str], order: list[str], ext: str = "e
     return df.withColumn("img_no", n).withColumn("filename", F.format_string("img-%03d.%s", "img_no", ext))
 
 
+def spans_of(lists: pa.ListArray) -> Iterator[list[tuple[int, Span]]]:
+    """(page_idx, span) of each list of structs, read field by field; what isn't null is in each struct."""
+    f = dict(zip((x.name for x in lists.type.value_type), lists.flatten().flatten()))
+    text, kind, *flags = (f[n].to_pylist() for n in ("text", "kind", "bold", "italic", "mono", "space_before"))
+    bold, italic, mono, space = (map(bool, x) for x in flags)
+    rest = (f[n].to_pylist() for n in ("x", "y", "width", "height", "font_size"))
+    own = map(Span, (t or "" for t in text), *rest, bold, italic, mono, (k == "image" for k in kind), f["mcid"].to_pylist(), space)
+    both = zip(f["page_idx"].to_pylist(), own)
+    return ([*islice(both, n or 0)] for n in lists.value_lengths().to_pylist())
+
+
 def format_spans(spans: DataFrame, rects: DataFrame | None = None, roles: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
     """(doc, page_idx, markdown) of tables of spans, rectangles and roles, by the same formatter as the converter.
 
@@ -214,13 +230,12 @@ def format_spans(spans: DataFrame, rects: DataFrame | None = None, roles: DataFr
     schema = f"{doc} {spans.schema[doc].dataType.simpleString()}, page_idx int, markdown string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
+            out, each = [], spans_of(batch.column("spans"))
+            for row, own in zip(batch.drop_columns("spans").to_pylist(), each):
                 pages: dict[int, tuple[list, list]] = {}
-                for s in row["spans"]:
-                    own = Span(s["text"] or "", s["x"], s["y"], s["width"], s["height"], s["font_size"], bool(s["bold"]), bool(s["italic"]), bool(s["mono"]), s["kind"] == "image", s["mcid"], bool(s["space_before"]))
-                    pages.setdefault(s["page_idx"], ([], []))[0].append(own)
+                for page_idx, s in own:
+                    pages.setdefault(page_idx, ([], []))[0].append(s)
                 for r in row.get("rects") or ():
                     if r["page_idx"] in pages:
                         pages[r["page_idx"]][1].append((r["x"], r["y"], r["w"], r["h"]))
