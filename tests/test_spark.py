@@ -350,3 +350,26 @@ def test_spans_are_read_few_documents_at_a_time(spark, monkeypatch):
     want = [[(s["page_idx"], s["text"] or "", s["y"], bool(s["bold"]), bool(s["italic"]), s["kind"] == "image", s["mcid"], bool(s["space_before"])) for s in own] for own in lists.slice(5, 9).to_pylist()]
     assert [[(p, s.text, s.y, s.bold, s.italic, s.image, s.mcid, s.space) for p, s in own] for own in layout.spans_of(lists.slice(5, 9))] == want
     assert layout.format_spans(table).count() == 2 * layout.SLICE + 7
+
+
+def test_results_are_passed_on_by_their_size():
+    """Small files with large images aren't held together, however many there are in a batch."""
+    import pyarrow as pa
+
+    from vellumine.kernel.convert import convert
+
+    b = Builder()
+    n = b.stream(bytes(3 << 20), b"/Type /XObject /Subtype /Image /Width 1048576 /Height 1 /ColorSpace /DeviceRGB /BitsPerComponent 8", flate=True)
+    b.page(b"/I Do", b"/XObject <</I %d 0 R>>" % n)
+    large = b.build()
+    assert len(large) < 1 << 16
+    batch = pa.RecordBatch.from_pydict({"i": [*range(8)], "__content": [large if i % 2 else GOOD for i in range(8)]})
+
+    def one(raw: bytes) -> dict:
+        files = convert(raw, False, "f")[1]
+        return {"images": [{"filename": n, "bytes": x} for n, x in files]}
+
+    schema = pa.schema([("i", pa.int64()), ("images", pa.list_(pa.struct([("filename", pa.string()), ("bytes", pa.binary())])))])
+    got = [*decode.results(iter([batch]), one, ["i"], ["images"], schema, "PERMISSIVE")]
+    assert [x.column("i").to_pylist() for x in got] == [[0, 1], [2, 3], [4, 5], [6, 7]]
+    assert [len(x) for y in got for x in y.column("images").to_pylist()] == [0, 1] * 4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +17,8 @@ from vellumine.kernel.content import Span
 from vellumine.kernel.objects import PdfError
 
 MODES = ("PERMISSIVE", "FAILFAST")
-#: Results that are held before they are passed on, in bytes of input.
-_FLUSH = 16 << 20
+#: Results that are held before they are passed on, in bytes of files and of the images that come of them.
+_FLUSH = 2 << 20
 
 
 def _kept(df: DataFrame, content: str, new: str) -> tuple[list[str], StructType]:
@@ -34,32 +34,37 @@ def _check(mode: str) -> None:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
 
 
-def _run(df: DataFrame, content: str, new: str, mode: str, one) -> DataFrame:
+def results(batches: Iterator[pa.RecordBatch], one: Callable[[bytes], dict], keep: list[str], fields: list[str], arrow: pa.Schema, mode: str) -> Iterator[pa.RecordBatch]:
+    """Batches of ``keep`` and of what ``one`` makes of each content; those of a batch are passed on as they fill ``_FLUSH``."""
+    for batch in batches:
+        values, lo, rows, size = batch.column("__content"), 0, [], 0
+        for i in range(batch.num_rows):
+            raw = values[i].as_py()
+            try:
+                if raw is None:
+                    raise PdfError("NOT_PDF")
+                row = one(raw) | {"error": None}
+            except PdfError as e:
+                if mode == "FAILFAST":
+                    raise
+                row = {"error": {"code": e.code, "message": str(e)}}
+            rows.append(row)
+            size += len(raw or b"") + sum(len(x["bytes"]) for x in row.get("images") or ())
+            if size >= _FLUSH or i + 1 == batch.num_rows:
+                own = batch.slice(lo, len(rows))
+                made = [pa.array([r.get(f) for r in rows], arrow.field(f).type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *made], schema=arrow)
+                lo, rows, size = i + 1, [], 0
+
+
+def _run(df: DataFrame, content: str, new: str, mode: str, one: Callable[[bytes], dict]) -> DataFrame:
     _check(mode)
     keep, schema = _kept(df, content, new)
     arrow = to_arrow_schema(schema)
     fields = [f.name for f in StructType.fromDDL(new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, lo, rows, size = batch.column("__content"), 0, [], 0
-            for i in range(batch.num_rows):
-                raw = values[i].as_py()
-                try:
-                    if raw is None:
-                        raise PdfError("NOT_PDF")
-                    row = one(raw) | {"error": None}
-                except PdfError as e:
-                    if mode == "FAILFAST":
-                        raise
-                    row = {"error": {"code": e.code, "message": str(e)}}
-                rows.append(row)
-                size += len(raw or b"")
-                if size >= _FLUSH or i + 1 == batch.num_rows:
-                    own = batch.slice(lo, len(rows))
-                    made = [pa.array([r.get(f) for r in rows], arrow.field(f).type) for f in fields]
-                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *made], schema=arrow)
-                    lo, rows, size = i + 1, [], 0
+        return results(batches, one, keep, fields, arrow, mode)
 
     return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{content}`").cast("binary").alias("__content")).mapInArrow(run, schema)
 
