@@ -373,3 +373,36 @@ def test_results_are_passed_on_by_their_size():
     got = [*decode.results(iter([batch]), one, ["i"], ["images"], schema, "PERMISSIVE")]
     assert [x.column("i").to_pylist() for x in got] == [[0, 1], [2, 3], [4, 5], [6, 7]]
     assert [len(x) for y in got for x in y.column("images").to_pylist()] == [0, 1] * 4
+
+
+def test_results_are_passed_on_by_what_comes_of_small_files(spark):
+    """Files are compressed: what is held is bounded by the Markdown and the spans of them too."""
+    import pyarrow as pa
+
+    from vellumine.kernel.convert import convert
+
+    small = text_pdf([["the same line of some words comes again and again"] * 12_000], packed=True)
+    assert len(small) < 1 << 16 and len(convert(small)[0]) > 1 << 19
+    batch = pa.RecordBatch.from_pydict({"i": [*range(8)], "__content": [small] * 8})
+    schema = pa.schema([("i", pa.int64()), ("markdown", pa.string())])
+    got = [*decode.results(iter([batch]), lambda raw: {"markdown": convert(raw)[0]}, ["i"], ["markdown"], schema, "PERMISSIVE")]
+    assert [x.column("i").to_pylist() for x in got] == [[0, 1, 2, 3], [4, 5, 6, 7]] and len({x for y in got for x in y.column("markdown").to_pylist()}) == 1
+
+    df = spark.createDataFrame([(i, small) for i in range(3)], "doc_id long, content binary").coalesce(1)
+    assert sorted(decode.spans(decode.decode_documents(df)).groupBy("doc_id").count().collect()) == [(i, 12_000) for i in range(3)]
+    schema, pages = pa.schema([("i", pa.int64()), ("n", pa.int64())]), [{"spans": [{}] * 2000, "rects": []}]
+    got = [*decode.results(iter([batch]), lambda raw: {"pages": pages, "n": 1}, ["i"], ["n"], schema, "PERMISSIVE")]
+    assert [x.column("i").to_pylist() for x in got] == [[0, 1], [2, 3], [4, 5], [6, 7]]
+
+
+def test_files_are_passed_on_by_their_size():
+    """A batch of large files isn't held whole; of small ones 200 are passed on at a time, as they were."""
+    import pyarrow as pa
+
+    from vellumine.plans.queries import built
+
+    batch = pa.RecordBatch.from_pydict({"i": [*range(405)], "n": [1 << 20] * 4 + [1] * 401})
+    got = [*built(iter([batch, batch.slice(0, 0)]), lambda n: bytes(n), "i")]
+    assert [x.num_rows for x in got] == [2, 2, 200, 200, 1] and got[0].schema.names == ["i", "content"]
+    assert [v for x in got for v in x.column("i").to_pylist()] == [*range(405)]
+    assert [len(v) for x in got for v in x.column("content").to_pylist()] == [1 << 20] * 4 + [1] * 401

@@ -17,8 +17,10 @@ from vellumine.kernel.content import Span
 from vellumine.kernel.objects import PdfError
 
 MODES = ("PERMISSIVE", "FAILFAST")
-#: Results that are held before they are passed on, in bytes of files and of the images that come of them.
-_FLUSH = 2 << 20
+#: Files or results that are held before they are passed on, in bytes of files and of what comes of them.
+FLUSH = 2 << 20
+#: Bytes of Python that a span takes; a rectangle or a role takes less and counts as much.
+_SPAN = 660
 
 
 def _kept(df: DataFrame, content: str, new: str) -> tuple[list[str], StructType]:
@@ -34,8 +36,14 @@ def _check(mode: str) -> None:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
 
 
+def _size(row: dict) -> int:
+    """Bytes, about, of what came of a file: it can be many times the file, as that is compressed."""
+    drawn = sum(len(p["spans"]) + len(p["rects"]) for p in row.get("pages") or ()) + len(row.get("roles") or ())
+    return len(row.get("markdown") or "") + _SPAN * drawn + sum(len(x["bytes"]) for x in row.get("images") or ())
+
+
 def results(batches: Iterator[pa.RecordBatch], one: Callable[[bytes], dict], keep: list[str], fields: list[str], arrow: pa.Schema, mode: str) -> Iterator[pa.RecordBatch]:
-    """Batches of ``keep`` and of what ``one`` makes of each content; those of a batch are passed on as they fill ``_FLUSH``."""
+    """Batches of ``keep`` and of what ``one`` makes of each content; those of a batch are passed on as they fill ``FLUSH``."""
     for batch in batches:
         values, lo, rows, size = batch.column("__content"), 0, [], 0
         for i in range(batch.num_rows):
@@ -49,8 +57,8 @@ def results(batches: Iterator[pa.RecordBatch], one: Callable[[bytes], dict], kee
                     raise
                 row = {"error": {"code": e.code, "message": str(e)}}
             rows.append(row)
-            size += len(raw or b"") + sum(len(x["bytes"]) for x in row.get("images") or ())
-            if size >= _FLUSH or i + 1 == batch.num_rows:
+            size += len(raw or b"") + _size(row)
+            if size >= FLUSH or i + 1 == batch.num_rows:
                 own = batch.slice(lo, len(rows))
                 made = [pa.array([r.get(f) for r in rows], arrow.field(f).type) for f in fields]
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *made], schema=arrow)

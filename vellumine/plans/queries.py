@@ -453,21 +453,25 @@ SQL_PADDED = "SELECT doc_id, hex(encode(text)) || repeat('20', (16 - strlen(text
 # ------------------------------------------------------------------ whole files
 
 
+def built(batches: Iterator[pa.RecordBatch], build: Callable[[object], bytes], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of the first column and of the file that ``build`` makes of the second; those of a batch are passed on by 200, or as they fill ``decode.FLUSH``."""
+    for batch in batches:
+        values, lo, made, size = batch.column(1), 0, [], 0
+        for i in range(batch.num_rows):
+            made.append(build(values[i].as_py()))
+            size += len(made[-1])
+            if size >= decode.FLUSH or len(made) == 200 or i + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(made)), pa.array(made, pa.binary())], names=[key, "content"])
+                lo, made, size = i + 1, [], 0
+
+
 def as_pdf(df: DataFrame, key: str, source: str, build: Callable[[object], bytes]) -> DataFrame:
     """(key, content) of a file that ``build`` makes from each value of ``source``.
 
     The rows are ``dealt`` first.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                files = [build(v) for v in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], names=[key, "content"])
-
     df = dealt(df.select(key, source))
-    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, content binary")
+    return df.mapInArrow(lambda batches: built(batches, build, key), f"{key} {df.schema[key].dataType.simpleString()}, content binary")
 
 
 def _split(t: str) -> list[str]:
