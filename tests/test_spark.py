@@ -406,3 +406,19 @@ def test_files_are_passed_on_by_their_size():
     assert [x.num_rows for x in got] == [2, 2, 200, 200, 1] and got[0].schema.names == ["i", "content"]
     assert [v for x in got for v in x.column("i").to_pylist()] == [*range(405)]
     assert [len(v) for x in got for v in x.column("content").to_pylist()] == [1 << 20] * 4 + [1] * 401
+
+
+def test_last_lines_that_turns_share_stay(spark, tmp_path):
+    """Only the running head of a conversation goes, as in the SQL, not a short line that ends three of its turns."""
+    import duckdb
+
+    from vellumine.plans.queries import oracle_sql, pdf_multipage_roundtrip
+
+    rows = [(c, t, "user", f"What is said in turn {t}.\nThe end.") for c in range(2) for t in range(2 + 2 * c)]
+    rows += [(2, t, "user", text) for t, text in enumerate(["", "The end.", "The end.", None, "More text.\n\nThe end."])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(map(tuple, pdf_multipage_roundtrip(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(oracle_sql()["pdf_multipage_roundtrip"]).fetchall())
+    assert [m.count("The end.") for _, m in got] == [2, 4, 3]
