@@ -316,6 +316,21 @@ def test_rows_are_dealt_to_tasks_of_some_megabytes(spark):
     assert "RoundRobinPartitioning" in predictor_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tasks_of_broken_files_grow_in_number(spark):
+    """A larger table gives ``pdf_errors`` more tasks in proportion, so that none of them fills larger batches."""
+    from vellumine.plans.queries import pdf_errors
+
+    factor, sf, parts = "spark.sql.sources.fileCompressionFactor", "/root/testdata/sf0.01", []
+    old = spark.conf.get(factor)
+    try:
+        for times in (100, 1000):  # the plan takes the table for so many times its size
+            spark.conf.set(factor, str(float(times)))
+            parts.append(pdf_errors(spark, sf).rdd.getNumPartitions())
+    finally:
+        spark.conf.set(factor, old)
+    assert parts[0] > 16 and abs(parts[1] / parts[0] - 10) < 1
+
+
 def test_parts_of_visual_lines_grow_in_number(spark, tmp_path):
     """A task sorts some megabytes of spans, however many there are; a plan without an estimate has the usual parts."""
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
